@@ -238,7 +238,7 @@ def _place(places):
     return rows
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, buckets: int = 256) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
     """Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, a row for each piece.
 
     A null or empty text is the end id alone. Rows with one doc_id, or with
