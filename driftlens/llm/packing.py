@@ -32,29 +32,36 @@ _TOKENIZERS: dict = {}
 class CachedTokenizer:
     """Little-endian ids of whole texts, with the ids of each run between white space kept.
 
-    The memory is bounded: it is emptied when it holds ``limit`` runs, and runs
-    of over 64 characters aren't kept.
+    The memory is bounded: there are two generations of at most about ``limit``
+    runs each. A run that is used moves to the young one; when that is full it
+    becomes the old one and what wasn't used since goes. Runs of over 64
+    characters aren't kept.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.young, self.old = Tokenizer.from_file(path), limit, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.split(t) for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for w in {w for words in split for w in words}:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
         long: dict[str, bytes] = {}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= 64 else long)[w] = np.array(e.ids, "<u4").tobytes()
+                (young if len(w) <= 64 else long)[w] = np.array(e.ids, "<u4").tobytes()
         if long:
-            return [b"".join([known[w] if w in known else long[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
+            return [b"".join([young[w] if w in young else long[w] for w in words]) for words in split]
+        return [b"".join([young[w] for w in words]) for words in split]
 
 
 def tokenizer(path: str) -> CachedTokenizer:
