@@ -29,39 +29,78 @@ _CUT = re.compile("[ \t\n\v\f\r]+")
 _TOKENIZERS: dict = {}
 
 
+class Kept(dict):
+    """A bounded memory of two generations of at most about ``limit`` entries.
+
+    What is used moves to the young one; when that is full it becomes the old
+    one, and what wasn't used since goes.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is not None:
+            self[key] = got
+        return got
+
+
 class CachedTokenizer:
-    """Little-endian ids of whole texts, with the ids of each run between white space kept.
+    """Little-endian ids of whole texts, put together from those of runs between white space.
 
-    The memory is bounded: there are two generations of at most about ``limit``
-    runs each. A run that is used moves to the young one; when that is full it
-    becomes the old one and what wasn't used since goes. Runs of over 64
+    A run of Latin letters and marks after them is two pieces to the tokenizer,
+    which lower-cases both, so their ids are kept apart. Runs of over 64
     characters aren't kept.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    #: Letters below U+0180, then ASCII marks but the apostrophe, which may belong to a contraction.
+    _PARTS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]{1,48})([!-&(-/:-@\[-`{-~]{0,16})\Z")
+
+    def __init__(self, path: str, limit: int = 400_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.young, self.old = Tokenizer.from_file(path), limit, {}, {}
+        self.tokenizer, self.runs, self.parts = Tokenizer.from_file(path), Kept(limit), Kept(limit)
+
+    def _add(self, to: dict, texts: list[str]) -> None:
+        for at in range(0, len(texts), 20_000):
+            part = texts[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                to[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.split(t) for t in texts]
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
+        self.runs.turn()
+        self.parts.turn()
+        runs, parts, match = self.runs, self.parts, self._PARTS.match
+        whole, wanted, halves = [], set(), []
         for w in {w for words in split for w in words}:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
+            if runs[w] is None:
+                m = match(w)
+                if m is None:
+                    whole.append(w)
+                    continue
+                core, marks = m[1].lower(), m[2]
+                halves.append((w, core, marks))
+                wanted.update([x for x in (core, marks) if x and parts[x] is None])
+        self._add(parts, list(wanted))
+        for w, core, marks in halves:
+            runs[w] = parts[core] + parts[marks] if marks else parts[core]
+        self._add(runs, [w for w in whole if len(w) <= 64])
         long: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (young if len(w) <= 64 else long)[w] = np.array(e.ids, "<u4").tobytes()
+        self._add(long, [w for w in whole if len(w) > 64])
         if long:
-            return [b"".join([young[w] if w in young else long[w] for w in words]) for words in split]
-        return [b"".join([young[w] for w in words]) for words in split]
+            return [b"".join([long[w] if w in long else runs[w] for w in words]) for words in split]
+        return [b"".join([runs[w] for w in words]) for words in split]
 
 
 def tokenizer(path: str) -> CachedTokenizer:
@@ -270,7 +309,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY,
     starts = counts.withColumn("_s", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "_b", "_s")
     rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("_row")) - 1
     columns = [x.split()[0] for x in PIECES.split(", ")]
-    ranked = cut.withColumn("_r", rank).join(F.broadcast(starts), ["length", "_b"]).select(*columns, (F.col("_r") + F.col("_s")).alias("_r"))
+    ranked = cut.withColumn("_r", rank).join(starts, ["length", "_b"]).select(*columns, (F.col("_r") + F.col("_s")).alias("_r"))
     return common.arrow_pass(ranked, _place(places), PIECES + ", sequence_id long, offset long")
 
 

@@ -40,6 +40,8 @@ PATTERNS = {
 MOST_PARTS, REACH = 14, 32
 _DIGITS = re.compile(r"[0-9]+")
 _HINT = re.compile(r"[0-9@]")
+_WRITTEN = ("(at)", "[at]", " dot ")
+_ANY_HINT = re.compile(r"[0-9@]|[(\[]at[)\]]| dot ")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s|.", re.S)
 
@@ -140,7 +142,7 @@ def _could_be(kind: str, span: str) -> bool:
         return valid("ip", span)
     if kind == "phone":
         return 9 <= n <= 15
-    return kind == "email" or 12 <= n <= 19
+    return kind == "email" or 12 <= n <= 19 and luhn("".join(c for c in span if c.isdigit()))
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[str]:
@@ -226,7 +228,7 @@ def generated(n: int, seed: int = 5) -> list[tuple[str, set[tuple[int, int, str]
         return r.choice((f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{digits(3)} {digits(7)}"))
 
     def email():
-        user, host, top = f"{word()}{r.choice(('', '.', '_'))}{digits(2)}", word(), r.choice(("com", "org", "net", "fr"))
+        user, host, top = f"{word()}{r.choice(('', '.', '_'))}{r.choice((digits(2), word()))}", word(), r.choice(("com", "org", "net", "fr"))
         return r.choice((f"{user} (at) {host} (dot) {top}", f"{user}[at]{host}[dot]{top}", f"{user} at {host} dot {top}", f"{user}@{host}.{top}", f"{user} @ {host}.{top}"))
 
     def ip():
@@ -273,11 +275,12 @@ def train(n: int = 500, rounds: int = 6, rate: float = 0.3, l2: float = 2e-3) ->
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], weights: dict[str, float]) -> list[tuple[int, int, str]]:
-    """What the field finds in the stretches around digits and at-signs outside of base spans."""
+    """What the field finds in the stretches around digits, at-signs and words for them, outside of base spans."""
     edges = _merged([(s, e) for s, e, _ in base])
+    hint = _ANY_HINT if any(w in text for w in _WRITTEN) else _HINT
     out, size, k, at = [], len(text), 0, 0
     while at < size:
-        m = _HINT.search(text, at)
+        m = hint.search(text, at)
         if not m:
             break
         at = m.start()
@@ -290,12 +293,10 @@ def added_spans(text: str, base: list[tuple[int, int, str]], weights: dict[str,
         floor = edges[k - 1][1] if k else 0
         # the stretch goes on while the next digit or at-sign is near
         end = at + 1
-        while (n := _HINT.search(text, end, min(stop, end + REACH))) is not None:
+        while (n := hint.search(text, end, min(stop, end + REACH))) is not None:
             end = n.end()
         lo, hi = max(floor, at - REACH), min(stop, end + REACH)
-        if end - at >= 6 or "@" in text[at:end]:
-            out += decode(text, candidates(text, lo, hi), weights)
-        elif " at " in text[lo:hi] or "at)" in text[lo:hi] or "at]" in text[lo:hi]:
+        if end - at >= 6 or "@" in text[at:end] or hint is _ANY_HINT:
             out += decode(text, candidates(text, lo, hi), weights)
         at = max(end, out[-1][1] if out else 0)
     return [s for i, s in enumerate(out) if not i or s[0] >= out[i - 1][1]]
@@ -313,7 +314,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def find(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each by start, then kind."""
-    if not _HINT.search(text):
+    if not _HINT.search(text) and not any(w in text for w in _WRITTEN):
         return [], []
     base = base_spans(text)
     more = added_spans(text, base, weights)

@@ -11,7 +11,7 @@ and drops a whole node once their sum exceeds the limit.
 A group of over ``most`` members is cut, in Gray order, into blocks; pairs of blocks
 are searched as tasks of their own. Groups report links to the smallest member
 of each set that they join, never all pairs. Sets are closed over all groups by
-rounds of minimum labels with pointer jumping, each checkpointed.
+rounds of minimum labels with pointer jumping, each written to the shared folder.
 """
 
 from __future__ import annotations
@@ -207,13 +207,13 @@ def closed(links: DataFrame) -> DataFrame:
     """(node, root): for each linked node the smallest node that links join it to."""
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     both = common.written(both, "links")
-    label = common.checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
+    label = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "labels")
     while True:
         seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         new = label.join(seen, "node").select("node", "root", F.least("root", "low").alias("low"))
         up = new.select(F.col("node").alias("low"), F.col("low").alias("upper"))
         new = new.join(up, "low").select("node", F.col("upper").alias("new"), (F.col("upper") != F.col("root")).cast("long").alias("moved"))
-        new = common.checkpointed(new)
+        new = common.written(new, "labels")
         label = new.select("node", F.col("new").alias("root"))
         if not new.agg(F.sum("moved")).first()[0]:
             return label

@@ -24,7 +24,7 @@ from . import common
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
 _EDGE = re.compile(rb"^[^\w\x80-\xff]+|[^\w\x80-\xff]+$")
-N_DENSE = 5
+N_DENSE = 4
 
 
 def word_features(word: bytes) -> list[int]:
@@ -39,11 +39,11 @@ def word_features(word: bytes) -> list[int]:
 
 
 def dense(text: bytes, words: list[bytes], distinct: int) -> list[float]:
-    """Shares that don't depend on single words: marks, capitals, digits, repeats, lines."""
+    """Shares that don't depend on single words: marks, capitals, digits, repeats."""
     size, n = max(1, len(text)), max(1, len(words))
     marks = sum(text.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">", b"!"))
     capitals = len(text) - sum(a == b for a, b in zip(text[:2000], text[:2000].lower(), strict=True)) - max(0, len(text) - 2000)
-    return [marks / size, capitals / min(size, 2000), sum(text.count(b"%d" % d) for d in range(10)) / size, 1 - distinct / n, 1.0 if not words else 0.0]
+    return [marks / size, capitals / min(size, 2000), sum(text.count(b"%d" % d) for d in range(10)) / size, 1 - distinct / n if words else 0.0]
 
 
 @dataclass
@@ -64,7 +64,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, keep: int = 3000, l1: float = 4e-4, rounds: int = 250) -> Linear:
+def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, keep: int = 1500, l1: float = 3e-5, rounds: int = 250) -> Linear:
     """Without examples of both classes the model says no to everything."""
     n, pos = len(y), int(y.sum())
     if pos == 0 or pos == n:
@@ -78,21 +78,31 @@ def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, keep: int = 30
     place[keys] = np.arange(len(keys))
     col = place[flat]
     row, col = owner[col >= 0], col[col >= 0]
-    center, scale = extra.mean(0), extra.std(0) + 1e-6
+    center, scale = extra.mean(0), extra.std(0)
+    scale[scale < 1e-9] = np.inf  # what never varied says nothing
     dense_part = (extra - center) / scale
     k, m = len(keys), dense_part.shape[1]
-    lipschitz = 0.25 * (np.bincount(row, minlength=n).max(initial=1) * 0.25 + m + 1)
+
+    def times(v):
+        return np.bincount(row, v[col], n) + dense_part @ v[k : k + m] + v[-1]
+
+    def back(r):
+        return np.concatenate([np.bincount(col, r[row], k), r @ dense_part, [r.sum()]])
+
+    wt = np.where(y > 0, 0.5 * n / pos, 0.5 * n / (n - pos)) ** 0.5
+    v, norm = np.ones(k + m + 1), 1.0
+    for _ in range(12):  # the largest eigenvalue bounds the curvature
+        v = back(wt * times(v))
+        norm = np.linalg.norm(v)
+        v /= norm
+    step = n / (0.3 * norm)
     w = v = np.zeros(k + m + 1)
     w[-1] = v[-1] = np.log(pos / (n - pos))
-    t, step = 1.0, 1.0 / lipschitz
-    wt = np.where(y > 0, 0.5 * n / pos, 0.5 * n / (n - pos)) ** 0.5
+    t = 1.0
     for _ in range(rounds):
-        z = np.bincount(row, v[col], n) + dense_part @ v[k : k + m] + v[-1]
-        r = wt * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.concatenate([np.bincount(col, r[row], k), r @ dense_part, [r.sum()]])
-        new = v - step * n * g / max(1.0, np.sqrt(n))
-        cut = step * n * l1 / max(1.0, np.sqrt(n))
-        new[:k] = np.sign(new[:k]) * np.maximum(0, np.abs(new[:k]) - cut)
+        r = wt * (1 / (1 + np.exp(-np.clip(times(v), -30, 30))) - y) / n
+        new = v - step * back(r)
+        new[:k] = np.sign(new[:k]) * np.maximum(0, np.abs(new[:k]) - step * l1)
         t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         if (v - new) @ (new - w) > 0:
             t = 1.0
@@ -190,6 +200,8 @@ class Scorer:
 
     def __call__(self, text: bytes) -> list[float]:
         words = text.lower().split()
+        if not words:
+            return [0.0] * len(self.chain.links)
         distinct = set(words)
         if len(self.memo) > 400_000:
             self.memo.clear()
