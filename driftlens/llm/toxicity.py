@@ -69,15 +69,17 @@ def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, keep: int = 15
     n, pos = len(y), int(y.sum())
     if pos == 0 or pos == n:
         return Linear(bias=-30.0 if pos == 0 else 30.0)
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    with_, of_pos = np.bincount(flat, minlength=1 << BITS), np.bincount(flat, y[owner], 1 << BITS)
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    with_ = np.bincount(flat, minlength=1 << BITS)
+    of_pos = np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v]), minlength=1 << BITS)
     gain = (of_pos * n - with_ * pos) ** 2 / np.maximum(1.0, with_ * (n - with_)) * (with_ >= 3)  # the chi-square of feature and class
     keys = np.sort(np.argsort(-gain, kind="stable")[:keep])
     keys = keys[gain[keys] > 10.8]  # beyond chance at 0.001
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[keys] = np.arange(len(keys))
     col = place[flat]
-    row, col = owner[col >= 0], col[col >= 0]
+    row, col = owner[col >= 0].astype(np.int64), col[col >= 0].astype(np.int64)
+    del flat, owner
     center, scale = extra.mean(0), extra.std(0)
     scale[scale < 1e-9] = np.inf  # what never varied says nothing
     dense_part = (extra - center) / scale
@@ -167,7 +169,7 @@ def _features():
     return rows
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> Chain:
     """The chain (low quality, then toxic) from at most sample labelled documents.
 
     Rows without a label, or with a label other than 0 and 1, don't count;
@@ -184,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Chain:
     if not got:
         return Chain(names, [Linear(), Linear()], 0.5)
     order = sorted(got)
-    rows = [np.frombuffer(got[i][0], np.int32).astype(np.int64) for i in order]
+    rows = [np.frombuffer(got[i][0], np.int32) for i in order]
     extra = np.array([np.frombuffer(got[i][1]) for i in order]).reshape(len(order), N_DENSE)
     y = np.array([(1 - got[i][2], got[i][3]) for i in order], float)
     return fit_chain(names, rows, extra, y)
