@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark import Broadcast
@@ -49,9 +50,13 @@ class Vocabulary:
     inside: np.ndarray  # log10 of the denominator within each unit, 0 for units of one word
     unigram: np.ndarray  # of units
 
-    def unit(self, word: bytes) -> int:
-        at = self.index.get(word)
-        return bucket(word) if at is None else int(self.units[at])
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Places in the index (-1 for rare words), units, and the rare words in order."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        units, rare_at = self.units[at], np.flatnonzero(at < 0)
+        rare = [words[k] for k in rare_at.tolist()]
+        units[rare_at] = [bucket(w) for w in rare]
+        return at, units, rare
 
 
 @dataclass
@@ -88,18 +93,19 @@ class Model:
             q += self.into[context[:, k]] * self.place[k]
         return q
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray, batch: int = 4096) -> np.ndarray:
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, batch: int = 1024) -> np.ndarray:
         """Natural logs, normalised over all units."""
         out = np.empty(len(target))
-        turned = np.ascontiguousarray(self.out.T)
+        turned, bias = np.ascontiguousarray(self.out.T), self.bias - self.bias.max()
+        ones, scores = np.ones(UNITS, np.float32), np.empty((batch, UNITS), np.float32)
         for lo in range(0, len(target), batch):
-            s = self.hidden(context[lo : lo + batch]) @ turned
-            s += self.bias
+            q = self.hidden(context[lo : lo + batch])
+            s = np.matmul(q, turned, out=scores[: len(q)])
+            s += bias
+            np.minimum(s, 80, out=s)  # exp stays finite
             own = s[np.arange(len(s)), target[lo : lo + batch]]
-            top = s.max(1, keepdims=True)
-            s -= top
             np.exp(s, out=s)
-            out[lo : lo + batch] = own - top[:, 0] - np.log(s.sum(1))
+            out[lo : lo + batch] = own - np.log(np.maximum(s @ ones, 1e-30))
         return out
 
 
@@ -221,48 +227,32 @@ def vocabulary(counts: DataFrame, most_words: int) -> Vocabulary:
     return Vocabulary(tokens, distinct, {w: k for k, w in enumerate(words)}, c, units, inside, mass / mass.sum())
 
 
-def _units(vocab: Vocabulary, words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    """Units of a text's words and its end."""
-    out = []
-    get = memo.get
-    for w in words:
-        u = get(w)
-        if u is None:
-            u = memo[w] = vocab.unit(w)
-        out.append(u)
-    out.append(UNITS - 1)
-    return np.array(out, np.int64)
+def _blocks(given, size: int):
+    """(rows, all their words with an end after each text, places where texts begin) of about size tokens."""
+    held, words, starts = [], [], []
+    for *row, text in given:
+        held.append(row)
+        starts.append(len(words))
+        words += text.lower().split()
+        words.append(END)
+        if len(words) >= size:
+            yield held, words, np.array(starts)
+            held, words, starts = [], [], []
+    if held:
+        yield held, words, np.array(starts)
 
 
 def _train(vocab: Broadcast, shared: Broadcast, batch: int):
     def rows(given):
-        v, memo = vocab.value, {}
-        trainer, seen, held, size = None, 0, [], 0
-        seed = 0
-
-        def learn():
-            nonlocal trainer, seen
-            if trainer is None:
-                trainer = Trainer(Model.unpacked(shared.value), v.unigram, seed)
-            units = np.concatenate(held)
-            starts = np.cumsum([0, *(len(x) for x in held[:-1])])
+        v, trainer, seen = vocab.value, None, 0
+        for _, words, starts in _blocks(given, 16 * batch):
+            if trainer is None:  # noise differs between tasks and is the same when a task runs again
+                trainer = Trainer(Model.unpacked(shared.value), v.unigram, zlib.crc32(b" ".join(words[:99])))
+            _, units, _ = v.places(words)
             context = contexts(units, starts)
             for lo in range(0, len(units), batch):
                 trainer.step(context[lo : lo + batch], units[lo : lo + batch])
             seen += len(units)
-
-        for (text,) in given:
-            if not seed:
-                seed = 1 + zlib.crc32(text)  # noise differs between tasks and is the same when a task runs again
-            if len(memo) > 300_000:
-                memo.clear()
-            held.append(_units(v, text.lower().split(), memo))
-            size += len(held[-1])
-            if size >= 16 * batch:
-                learn()
-                held, size = [], 0
-        if held:
-            learn()
         if trainer is not None:
             for at, x in enumerate(trainer.m.packed() * seen):
                 yield at, float(x), seen
@@ -270,7 +260,7 @@ def _train(vocab: Broadcast, shared: Broadcast, batch: int):
     return rows
 
 
-def train(texts: DataFrame, vocab: Vocabulary, sent: Broadcast, batch: int = 2048) -> Model:
+def train(texts: DataFrame, vocab: Vocabulary, sent: Broadcast, batch: int = 4096) -> Model:
     """texts has the columns text (bytes) and half (0 or 1); a round passes over each half."""
     spark, flat = texts.sparkSession, Model.fresh(vocab.unigram).packed()
     for half in (0, 1):
@@ -286,45 +276,20 @@ def _score(vocab: Broadcast, model: Broadcast):
     def rows(given):
         import uuid
 
-        v, m, memo = vocab.value, Model.unpacked(model.value), {}
-        log_c, base_id = np.log10(v.counts + 1.0), uuid.uuid4().int >> 66
-        index, n_rows = v.index, 0
-
-        def block(held):
-            nonlocal n_rows
-            texts = [words for _, _, words in held]
-            units = [_units(v, words, memo) for words in texts]
-            flat = np.concatenate(units)
-            starts = np.cumsum([0, *(len(x) for x in units[:-1])])
-            logs = m.log_probabilities(contexts(flat, starts), flat) / np.log(10) - v.inside[flat]
-            sums = np.add.reduceat(logs, starts)
-            for (doc_id, out, words), model_sum in zip(held, sums.tolist(), strict=True):
-                tally = Counter(words)
-                known, base, inner, rare = 1 if v.counts[0] else 0, float(log_c[0]), 0.0, []
-                for w, n in tally.items():
-                    at = index.get(w)
-                    if at is None:
-                        rare.append({"word": w, "n": n})
-                        continue
-                    known += n
-                    base += n * log_c[at]
-                    if at > WORDS:
-                        inner += n * log_c[at]
-                yield base_id + n_rows, doc_id, out, len(words) + 1, known, float(base), model_sum + float(inner), rare
-                n_rows += 1
-
-        held, size = [], 0
-        for doc_id, out, text in given:
-            if len(memo) > 300_000:
-                memo.clear()
-            words = text.lower().split()
-            held.append((doc_id, out, words))
-            size += len(words)
-            if size >= 65_536:
-                yield from block(held)
-                held, size = [], 0
-        if held:
-            yield from block(held)
+        v, m = vocab.value, Model.unpacked(model.value)
+        log_c, rid = np.log10(v.counts + 1.0), uuid.uuid4().int >> 66
+        for held, words, starts in _blocks(given, 65_536):
+            at, units, rare = v.places(words)
+            known = at > 0 if not v.counts[0] else at >= 0
+            base = np.where(at >= 0, log_c[at], 0.0)
+            logs = m.log_probabilities(contexts(units, starts), units) / np.log(10) - v.inside[units] + np.where(at > WORDS, base, 0.0)
+            sums = [np.add.reduceat(x, starts).tolist() for x in (known.astype(np.int64), base, logs, (at < 0).astype(np.int64))]
+            lengths, lo = np.diff(np.append(starts, len(words))).tolist(), 0
+            for (doc_id, out), n, n_known, b, s, n_rare in zip(held, lengths, *sums, strict=True):
+                few = Counter(rare[lo : lo + n_rare])
+                lo += n_rare
+                yield rid, doc_id, out, n, n_known, b, s, [{"word": w, "n": k} for w, k in few.items()]
+                rid += 1
 
     return rows
 
