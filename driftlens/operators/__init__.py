@@ -1,0 +1 @@
+"""Operators over plain tables; each takes and gives DataFrames and collects nothing."""

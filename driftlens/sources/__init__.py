@@ -1,0 +1 @@
+"""Readers with explicit schemas, and writers."""
