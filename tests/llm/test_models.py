@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -154,3 +155,13 @@ def test_boosting_fits_a_simple_rule():
     logs = model.log_probabilities(x[1500:])
     assert (logs.argmax(1) == y[1500:]).mean() > 0.97
     assert np.allclose(np.exp(logs).sum(1), 1)
+
+
+def test_query_of_base_counts(spark, tmp_path):
+    texts = [(1, "a@b.cd and 1.2.3.4 and 4111111111111111, call +1 (212) 555-0100"), (2, None)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op9_pii(spark, str(tmp_path)).collect()}
+    assert [got[1][f"n_{k}"] for k in pii.KINDS] == [1, 1, 1, 1] and [got[2][f"n_{k}"] for k in pii.KINDS] == [0] * 4
+    spans = "email:0:6,ip:11:18,card:23:39,phone:46:63"
+    assert got[1]["spans"] == spans and got[1]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+    assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
