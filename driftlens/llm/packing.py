@@ -15,6 +15,8 @@ import bisect
 import re
 import zlib
 from collections import defaultdict
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,78 +31,103 @@ _CUT = re.compile("[ \t\n\v\f\r]+")
 _TOKENIZERS: dict = {}
 
 
-class Kept(dict):
-    """A bounded memory of two generations of at most about ``limit`` entries.
-
-    What is used moves to the young one; when that is full it becomes the old
-    one, and what wasn't used since goes.
-    """
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def turn(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-    def __missing__(self, key):
-        got = self.old.get(key)
-        if got is not None:
-            self[key] = got
-        return got
-
-
 class CachedTokenizer:
     """Little-endian ids of whole texts, put together from those of runs between white space.
 
-    A run of Latin letters and marks after them is two pieces to the tokenizer,
-    which lower-cases both, so their ids are kept apart. Runs of over 64
-    characters aren't kept.
+    A run of letters and marks after them is two pieces to the tokenizer, which
+    lower-cases both, so the ids of both are looked up apart. Runs of small letters
+    are encoded many at a time: each ends with a token that ends a word.
+
+    The memory is bounded: two generations of at most about ``limit`` runs of up
+    to 64 characters. What is used moves to the young one; when that is full it
+    becomes the old one, and what wasn't used since goes.
     """
 
-    #: Letters below U+0180, then ASCII marks but the apostrophe, which may belong to a contraction.
-    _PARTS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]{1,48})([!-&(-/:-@\[-`{-~]{0,16})\Z")
+    #: ASCII marks but the apostrophe, which may belong to a contraction.
+    _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: White space to str.split() that isn't to the tokenizer.
+    _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.runs, self.parts = Tokenizer.from_file(path), Kept(limit), Kept(limit)
-
-    def _add(self, to: dict, texts: list[str]) -> None:
-        for at in range(0, len(texts), 20_000):
-            part = texts[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                to[w] = np.array(e.ids, "<u4").tobytes()
+        self.tokenizer, self.limit, self.young, self.old, self.marks = Tokenizer.from_file(path), limit, {}, {}, {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _one_by_one(self, texts: list[str]) -> dict[str, bytes]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(texts, got, strict=True)}
+
+    def _letters(self, words: list[str], group: int = 200) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        groups = [words[at : at + group] for at in range(0, len(words), group)]
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                out.update(zip(part, [raw[lo:hi] for lo, hi in zip([0, *cuts], cuts)], strict=True))
+            else:
+                out.update(self._one_by_one(part))
+        return out
+
+    def _missing(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of runs that the young memory lacks; it gets those that are kept."""
+        new: dict[str, bytes] = {}
+        whole, halves, letters = [], [], []
+        young, old, marks = self.young, self.old, self.marks
+        for w in wanted:
+            got = old.get(w)
+            if got is not None:
+                new[w] = got
+            elif w.isalpha() and w.islower() and len(w) <= 48:
+                letters.append(w)
+            else:
+                core = w.rstrip(self._MARKS)
+                key = core.lower()
+                # a sigma's small letter depends on its place, and some letters have two characters as theirs
+                if key.isalpha() and core.isalpha() and len(core) <= 48 and "\u03a3" not in core and key.islower():
+                    halves.append((w, key, w[len(core) :]))
+                else:
+                    whole.append(w)
+        keys = {key for _, key, _ in halves}
+        keys.difference_update(new, letters)
+        for key in keys:
+            got = young.get(key) or old.get(key)
+            if got is None:
+                letters.append(key)
+            else:
+                new[key] = got
+        new.update(self._letters(letters))
+        if len(marks) > 100_000:
+            marks = self.marks = {"": b""}
+        marks.update(self._one_by_one(list({m for _, _, m in halves} - marks.keys())))
+        for w, key, mark in halves:
+            new[w] = new[key] + marks[mark]
+        new.update(self._one_by_one(whole))
+        young.update(new)
+        for w in [w for w in whole if len(w) > 64]:
+            del young[w]
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CUT.split(t) for t in texts]
-        self.runs.turn()
-        self.parts.turn()
-        runs, parts, match = self.runs, self.parts, self._PARTS.match
-        whole, wanted, halves = [], set(), []
-        for w in {w for words in split for w in words}:
-            if runs[w] is None:
-                m = match(w)
-                if m is None:
-                    whole.append(w)
-                    continue
-                core, marks = m[1].lower(), m[2]
-                halves.append((w, core, marks))
-                wanted.update([x for x in (core, marks) if x and parts[x] is None])
-        self._add(parts, list(wanted))
-        for w, core, marks in halves:
-            runs[w] = parts[core] + parts[marks] if marks else parts[core]
-        self._add(runs, [w for w in whole if len(w) <= 64])
-        long: dict[str, bytes] = {}
-        self._add(long, [w for w in whole if len(w) > 64])
-        if long:
-            return [b"".join([long[w] if w in long else runs[w] for w in words]) for words in split]
-        return [b"".join([runs[w] for w in words]) for words in split]
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        look = self.young.get
+        split = [_CUT.split(t) if any(c in t for c in self._SEPARATORS) else t.split() for t in texts]
+        got = [list(map(look, words)) for words in split]
+        gaps = [list(compress(range(len(ids)), map(is_, ids, repeat(None)))) for ids in got]
+        wanted = {words[k] for words, places in zip(split, gaps, strict=True) for k in places}
+        if wanted:
+            new = self._missing(wanted)
+            for words, ids, places in zip(split, got, gaps, strict=True):
+                for k in places:
+                    ids[k] = new[words[k]]
+        return [b"".join(x) for x in got]
 
 
 def tokenizer(path: str) -> CachedTokenizer:
