@@ -53,7 +53,7 @@ _CUE_OF = {w: k for k, ws in enumerate(CUES.values()) for w in ws.split()}
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li a nav header footer aside form table tr td th thead tbody blockquote pre figure figcaption dl dt dd span b strong em i address details br img button label".split()
 _TAG_CODE = {t: k + 1 for k, t in enumerate(TAGS)}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?])?([a-zA-Z][^\s/>]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?])?([a-zA-Z][^\s/><]*)?((?:[^>\"'<]|\"[^\"]*\"|'[^']*')*+)>|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -87,22 +87,31 @@ class Page:
         return len(self.tag) - 1
 
     def _parse(self, html: str) -> None:
-        at, size, now = 0, len(html), 0
-        tag, parent, texts = self.tag, self.parent, self.texts
+        at, size = 0, len(html)
+        tag, texts, find = self.tag, self.texts, _MARKUP.search
+        open_, counts = [0], {"#": 1}  # elements that are open, and how many of each kind
         texts.append((0, ""))
-        find = _MARKUP.search
 
         def text(raw: str) -> None:
             if raw:
-                texts.append((now, unescape(raw) if "&" in raw else raw))
-
-        def close_to(names: tuple, stops: tuple) -> int:
-            node, target = now, -1
-            while node > 0 and tag[node] not in stops:
-                if tag[node] in names:
-                    target = node
-                node = parent[node]
-            return now if target < 0 else parent[target]
+                texts.append((open_[-1], unescape(raw) if "&" in raw else raw))
+
+        def close(until: int) -> None:
+            while len(open_) > until:
+                counts[tag[open_.pop()]] -= 1
+
+        def imply(names: tuple, stops: tuple) -> None:
+            """Closes the outermost open element of names above the nearest one of stops."""
+            if not any(counts.get(x) for x in names):
+                return
+            target = 0
+            for k in range(len(open_) - 1, 0, -1):
+                if tag[open_[k]] in stops:
+                    break
+                if tag[open_[k]] in names:
+                    target = k
+            if target:
+                close(target)
 
         while at < size:
             m = find(html, at)
@@ -120,28 +129,30 @@ class Page:
                 continue
             name = name.lower()
             if mark == "/":
-                node = now
-                while node > 0 and tag[node] != name:
-                    node = parent[node]
-                if node > 0:
-                    now = parent[node]
+                if counts.get(name):
+                    k = len(open_) - 1
+                    while tag[open_[k]] != name:
+                        k -= 1
+                    node = open_[k]
+                    close(k)
                     texts.append((node, None))
                 continue
             if name in _BLOCKS:
-                now = close_to(("p",), ("td", "th", "button", "table", "object"))
+                imply(("p",), ("td", "th", "button", "table", "object"))
             elif name in _CLOSES:
-                now = close_to(_CLOSES[name], _HOLDS[name])
-            node = self._open(name, now, m[3])
+                imply(_CLOSES[name], _HOLDS[name])
+            node = self._open(name, open_[-1], m[3])
             texts.append((node, None))
             if name == "br":
-                texts.append((now, " "))
+                texts.append((open_[-1], " "))
             if name in VOID or m[3].endswith("/") and name in ("svg", "path", "use", "circle", "rect"):
                 continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
                 at = size if end is None else html.find(">", end.end()) + 1 or size
                 continue
-            now = node
+            open_.append(node)
+            counts[name] = counts.get(name, 0) + 1
 
 
 def features(page: Page) -> np.ndarray:

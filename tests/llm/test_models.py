@@ -165,3 +165,15 @@ def test_query_of_base_counts(spark, tmp_path):
     spans = "email:0:6,ip:11:18,card:23:39,phone:46:63"
     assert got[1]["spans"] == spans and got[1]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
     assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_long_and_odd_texts_take_linear_time():
+    import time
+
+    model, weights = html_extraction.trained(), pii.train()
+    began = time.process_time()
+    for html in ("<" * 100_000, "<a " * 50_000, "<a href='" * 20_000, "<div>" * 3000 + "x" + "</x>" * 3000, "<p>" * 5000, "&" * 50_000, '<p title="a>' + "b" * 50_000, "<!--" * 20_000):
+        html_extraction.main_texts([html], model)
+    for text in ("9" * 100_000, "9." * 50_000, "+1(" * 30_000, "a@" * 30_000, "a" * 100_000 + "@", "1 2-3 " * 20_000, "@ 1 " * 20_000):
+        pii.find(text, weights)
+    assert time.process_time() - began < 60
