@@ -37,6 +37,8 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same matches without trying each digit of a long number.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 MOST_PARTS, REACH = 14, 32
 _DIGITS = re.compile(r"[0-9]+")
 _HINT = re.compile(r"[0-9@]")
@@ -71,6 +73,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     for kind, pattern in PATTERNS.items():
         if kind == "email":
             found = _emails(text) if "@" in text else ()
+        elif kind == "ip":
+            found = _IP.finditer(text) if "." in text else ()
         elif kind == "phone" and "+" not in text:
             found = ()
         else:
