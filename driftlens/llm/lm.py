@@ -297,7 +297,7 @@ def _score(vocab: Broadcast, model: Broadcast):
 PARTIAL = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: long>>"
 
 
-def score_texts(docs: DataFrame, most_words: int = 100_000) -> DataFrame:
+def score_texts(docs: DataFrame, most_words: int = 200_000) -> DataFrame:
     """Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row for each row of docs.
 
     A null or empty text is its end alone. A null doc_id counts as the empty
