@@ -5,7 +5,7 @@ Schemas are always explicit: inference would lose maps that happen to be empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RELEASE = "struct<upstream: string, source_version: string, runtime: array<string>, dev: array<string>, binaries: array<struct<name: string, versions: array<string>>>>"
@@ -14,7 +14,7 @@ OBJECT = f"struct<soname: array<string>, language: string, public: {COUNTS}, thi
 COVERAGE = "struct<header_files: int, parsed: int, with_fatal: int, with_errors: int, parsed_as_cxx: int, skipped: int>"
 HEADER_DIFF = "struct<definitions_1: int, definitions_2: int, definitions_common: int, definitions_added: int, definitions_removed: int, inline_body_changed: int, inline_body_changed_template: int, inline_decl_changed: int, macros_1: int, macros_2: int, macros_common: int, macro_value_changed: int, macro_value_changed_nonversion: int, examples: array<string>>"
 DEFINITION = "struct<path: string, name: string, kind: string, decl: string, body: string, tokens: int>"
-#: Payload schemas by stage; the schema id of stage s is abistudy/s/n.
+#: Payload schemas by stage; the schema id of stage s is tool/s/n.
 PAYLOADS = {
     "selection": "struct<libraries: array<struct<rank: int, installs: bigint, binary: string, source: string, language_hint: string>>>",
     "plan": f"struct<jobs: array<struct<source: string, v1: {RELEASE}, v2: {RELEASE}>>>",
@@ -30,14 +30,17 @@ def read_artifacts(spark: SparkSession, path: str, stage: str) -> DataFrame:
 
     Files of another schema id and unreadable ones give no rows; rejected() has them.
     """
-    ids = [f"abistudy/{stage}/{v}" for v in VERSIONS[stage]]
-    return _enveloped(spark, path, stage).where(F.col("schema").isin(ids)).select("file_name", "data.*")
+    return _enveloped(spark, path, stage).where(is_of(stage)).select("file_name", "data.*")
 
 
 def rejected(spark: SparkSession, path: str, stage: str) -> DataFrame:
     """file_name and schema of what read_artifacts() leaves out."""
-    ids = [f"abistudy/{stage}/{v}" for v in VERSIONS[stage]]
-    return _enveloped(spark, path, stage).where(~F.coalesce(F.col("schema").isin(ids), F.lit(False))).select("file_name", "schema")
+    return _enveloped(spark, path, stage).where(~F.coalesce(is_of(stage), F.lit(False))).select("file_name", "schema")
+
+
+def is_of(stage: str) -> Column:
+    """The envelope's schema is one of the stage's, by whatever tool."""
+    return F.col("schema").rlike(f"^[^/]+/{stage}/({'|'.join(VERSIONS[stage])})$")
 
 
 def _enveloped(spark: SparkSession, path: str, stage: str) -> DataFrame:
@@ -50,7 +53,7 @@ def write_artifact(df: DataFrame, path: str, stage: str, tool: str = "driftlens"
     """Each row of df (the payload's columns) as one JSON line in the envelope; the job commits as a whole."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     data = F.struct(*df.columns).alias("data")
-    df.select(F.lit(f"abistudy/{stage}/{VERSIONS[stage][-1]}").alias("schema"), F.lit(tool).alias("tool"), now.alias("generated_at"), data).write.mode("overwrite").json(path)
+    df.select(F.lit(f"{tool}/{stage}/{VERSIONS[stage][-1]}").alias("schema"), F.lit(tool).alias("tool"), now.alias("generated_at"), data).write.mode("overwrite").json(path)
 
 
 def last_of_folders(spark: SparkSession, folders: list[str], read, key: str) -> DataFrame:

@@ -17,8 +17,7 @@ def update_counts(spark: SparkSession, pairs_path: str, out: str, checkpoint: st
     """Reads the pair artefacts not read before and adds their public counts to out; gives the number of batches."""
     schema = f"schema string, tool string, generated_at string, data {artifacts.PAYLOADS['pair']}"
     stream = spark.readStream.schema(schema).option("multiLine", True).json(pairs_path)
-    ids = [f"abistudy/pair/{v}" for v in artifacts.VERSIONS["pair"]]
-    objects = stream.where(F.col("schema").isin(ids)).select("data.id", F.explode("data.objects").alias("o"))
+    objects = stream.where(artifacts.is_of("pair")).select("data.id", F.explode("data.objects").alias("o"))
     batches = []
 
     def write(df: DataFrame, batch: int) -> None:

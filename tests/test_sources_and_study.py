@@ -12,7 +12,7 @@ from driftlens.streaming import incremental
 
 
 def wrapped(stage, data, version="1"):
-    return {"schema": f"abistudy/{stage}/{version}", "tool": "t", "generated_at": "2024-01-01T00:00:00Z", "data": data}
+    return {"schema": f"anytool/{stage}/{version}", "tool": "t", "generated_at": "2024-01-01T00:00:00Z", "data": data}
 
 
 def pair(ident, language="c", public=None, third=None, private=None, soname=("a.so.1", "a.so.1"), mass=False, error=None):
