@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SIDE_PACKAGE_SUFFIXES = ("dev", "dbg", "dbgsym", "doc", "common", "data", "bin", "utils", "tools")
 BINDING_PREFIXES = ("libpython", "libperl", "libruby")
 NON_RUNTIME_SUFFIXES = ("dev", "doc", "dbg", "dbgsym", "udeb", "tests", "examples")
+FIRST_SURVEY_SUFFIXES = ("dev", "doc", "dbg", "dbgsym", "utils", "tools", "bin", "common", "data", "udeb", "tests", "examples", "devtools", "progs", "client", "server", "runtime", "plugins")
 HEADER_EXTENSIONS = ("h", "hpp", "hh", "hxx", "H", "inl", "ipp", "tcc")
 CXX_EXTENSIONS = ("hpp", "hh", "hxx", "H", "ipp", "tcc", "inl")
 CXX_MARKER = r"^\s*(template\s*<|namespace\s+\w|class\s+\w+\s*[:{]|#include\s*<(string|vector|iostream|memory|functional)>)"
@@ -96,6 +97,16 @@ def is_shared_object(path: Column | str, head: Column | str) -> Column:
     return name.startswith("lib") & name.contains(".so") & (F.substring(col(head), 1, 4) == F.unhex(F.lit("7F454C46")))
 
 
+def is_versioned_object(path: Column | str) -> Column:
+    """A shared object by name alone, outside of debug folders."""
+    p = col(path)
+    return p.rlike(r"\.so(\.\d+)*$") & ~p.contains("/debug/")
+
+
+def has_suffix(name: Column | str, suffixes: tuple[str, ...]) -> Column:
+    return col(name).rlike(f"-({'|'.join(suffixes)})$")
+
+
 def is_header_path(path: Column | str) -> Column:
     """A header by extension, or one without any below a c++ folder."""
     p = col(path)

@@ -32,6 +32,11 @@ FRAMINGS = ("binary", "evolution", "inline")
 SCHEMA = "ord int, kind string, grp string, binary boolean, evolution boolean, inline boolean, mechanism string, absorbed boolean"
 
 
+def verdict(mechanism: str) -> str:
+    """Whether a mechanism absorbs its changes, cannot, or has nothing to absorb."""
+    return "absorbed" if mechanism in MECHANISMS else "not_absorbed" if mechanism == NONE else "neutral"
+
+
 def rows() -> list[tuple]:
     return [(i, *k, k[5] in MECHANISMS) for i, k in enumerate(KINDS, 1)]
 

@@ -118,7 +118,7 @@ def symbols(old: DataFrame, new: DataFrame, keys: list[str], mass_min: int = 50)
     old, new = (df.where(~scalars.is_compiler_symbol("linkage")) for df in (old, new))
     removed, added = only(old, new, keys), only(new, old, keys)
     is_fn = F.col("is_function")
-    pairs = matched(removed.where(is_fn), added.where(is_fn), keys, [F.col("pairing")], ["linkage"]).where("r.pretty <> a.pretty")
+    pairs = signature_pairs(removed.where(is_fn), added.where(is_fn), keys)
     signatures = pairs.select(*keys, F.lit("function_signature_changed").alias("kind"), F.col("r.linkage").alias("linkage"), F.concat_ws("  ->  ", "r.pretty", "a.pretty").alias("pretty"), F.col("r.version").alias("version"))
     left_r = only(removed, pairs.select(*keys, F.col("r.linkage").alias("linkage")), keys)
     left_a = only(added, pairs.select(*keys, F.col("a.linkage").alias("linkage")), keys)
@@ -135,6 +135,28 @@ def symbols(old: DataFrame, new: DataFrame, keys: list[str], mass_min: int = 50)
     return events, tallies.withColumn("mass_rename", (F.col("renamed") >= mass_min) & (F.col("renamed") >= F.col("plain")))
 
 
+def signature_pairs(removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
+    """Removed and added functions of one name paired one to one, in order of linkage, never with equal text.
+
+    Each removed one takes the first added one left whose text differs. Where no
+    text is on both sides that is a join by rank; names where one is, which are
+    rare and hold a few overloads, are gone through one by one.
+    """
+    at = [*keys, "pairing"]
+    same = removed.select(*at, "pretty").intersect(added.select(*at, "pretty")).select(*at).distinct()
+    plain = matched(removed.join(same, at, "left_anti"), added.join(same, at, "left_anti"), keys, [F.col("pairing")], ["linkage"])
+    rows = lambda df: df.join(same, at, "left_semi").groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("linkage", *[c for c in df.columns if c != "linkage"]))).alias("s"))
+    both = rows(removed).withColumnRenamed("s", "rs").join(rows(added).withColumnRenamed("s", "as_"), at)
+    # the fold keeps the places taken so far; a place that isn't found is -1
+    first = lambda taken, r: F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size("as_") - 1), lambda k: ~F.array_contains(taken, k) & (F.get("as_", k)["pretty"] != r["pretty"])), 0), F.lit(-1))
+    taken = F.aggregate("rs", F.array().cast("array<int>"), lambda acc, r: F.array_append(acc, first(acc, r)))
+    chosen = both.withColumn("_t", taken).select(*at, "as_", F.posexplode(F.arrays_zip("rs", "_t")).alias("_k", "z")).where("z._t >= 0")
+    order = removed.columns
+    back = lambda c, name: F.struct(*[F.col(f"{c}.{x}").alias(x) for x in order]).alias(name)
+    greedy = chosen.withColumn("_a", F.get("as_", F.col("z._t"))).withColumn("_r", F.col("z.rs")).select(*keys, back("_r", "r"), back("_a", "a"))
+    return plain.unionByName(greedy)
+
+
 def signature_differs(result_1: Column, result_2: Column, params_1: Column, params_2: Column) -> Column:
     peel = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), scalars.strip_cv)
     bare = lambda c: F.coalesce(scalars.strip_cv(c), F.lit(""))
@@ -155,7 +177,7 @@ def paired_objects(old: DataFrame, new: DataFrame, keys: list[str], largest: boo
     return side(old, "old_path").join(side(new, "new_path"), [*keys, "stem"], "full_outer")
 
 
-def language_by_share(symbols_of: DataFrame, keys: list[str], least: float = 0.2) -> DataFrame:
-    """cxx if at least that share of exported functions has a mangled name, unknown without any."""
+def language_by_share(symbols_of: DataFrame, keys: list[str], least: float = 0.2, over: bool = False) -> DataFrame:
+    """cxx if at least (or over) that share of exported functions has a mangled name, unknown without any."""
     mangled = F.count_if(F.col("linkage").startswith("_Z"))
-    return symbols_of.where("is_function").groupBy(*keys).agg(F.count("*").alias("exported"), mangled.alias("mangled")).withColumn("language", F.when(F.col("exported") == 0, "unknown").when(F.col("mangled") >= least * F.col("exported"), "cxx").otherwise("c"))
+    return symbols_of.where("is_function").groupBy(*keys).agg(F.count("*").alias("exported"), mangled.alias("mangled")).withColumn("language", F.when(F.col("exported") == 0, "unknown").when((F.col("mangled") > least * F.col("exported")) if over else (F.col("mangled") >= least * F.col("exported")), "cxx").otherwise("c"))

@@ -81,9 +81,8 @@ def roles(packages: DataFrame, most: int = 4) -> DataFrame:
     begin with its stem count. Dev packages that share the name's beginning are
     preferred to others. At most ``most`` each, by name.
     """
-    side = f"-({'|'.join(scalars.NON_RUNTIME_SUFFIXES)})$"
     with_symbols = packages.where(F.col("name").endswith("-dbgsym")).select("release", F.regexp_replace("name", "-dbgsym$", "").alias("name")).distinct()
-    runtime = packages.where(~F.col("name").rlike(side)).join(with_symbols, ["release", "name"], "left_semi")
+    runtime = packages.where(~scalars.has_suffix("name", scalars.NON_RUNTIME_SUFFIXES)).join(with_symbols, ["release", "name"], "left_semi")
     target = scalars.digits_blind("want")
     stem = F.regexp_replace("want", "[0-9]*$", "")
     runtime = runtime.withColumn("_exact", scalars.digits_blind("name") == target).withColumn("_stem", F.col("name").startswith(F.regexp_replace(stem, "-*$", "")))
@@ -113,3 +112,39 @@ def within_budget(jobs: DataFrame, sizes: DataFrame, budget_mb: float, expansion
     mb = sizes.groupBy("id").agg((F.sum(F.coalesce("length", F.lit(0))) / 1e6).alias("mb"))
     out = jobs.join(mb, "id", "left").withColumn("mb", F.coalesce("mb", F.lit(0.0)))
     return out.withColumn("error", F.when(F.col("mb") * expansion > budget_mb, F.lit("over the memory budget")))
+
+
+def candidates(popcon: DataFrame, depends: DataFrame, origins: DataFrame, packages: DataFrame) -> DataFrame:
+    """rank, installs, binary, source, language, usable: library packages by popularity, ready for quota_topk().
+
+    origins has binary, source (a binary's newest source); packages has source
+    and name. A source is usable if it has debug symbols of the binary and a dev
+    package. A binary without a Depends line counts as C; one without an origin goes.
+    """
+    named = popcon.where(scalars.is_candidate("name")).join(depends, "name", "left").withColumn("language", scalars.language_of_depends("depends"))
+    placed = named.withColumnRenamed("name", "binary").join(origins.select("binary", "source"), "binary")
+    symbols = packages.where(F.col("name").endswith("-dbgsym")).select("source", F.regexp_replace("name", "-dbgsym$", "").alias("binary")).distinct().withColumn("_symbols", F.lit(True))
+    dev = packages.where(F.col("name").endswith("-dev")).select("source").distinct().withColumn("_dev", F.lit(True))
+    out = placed.join(symbols, ["source", "binary"], "left").join(dev, "source", "left")
+    return out.select("rank", "installs", "binary", "source", "language", (F.col("_symbols").isNotNull() & F.col("_dev").isNotNull()).alias("usable"))
+
+
+def newest_builds(builds: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key's builds (version, hash) the newest version's."""
+    key = scalars.version_key("version")
+    rest = [c for c in builds.columns if c not in keys]
+    return builds.where(key.isNotNull()).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(key, F.col("hash"))).alias("r")).select(*keys, "r.*")
+
+
+def roles_by_pattern(packages: DataFrame, patterns: DataFrame, most: int = 4) -> DataFrame:
+    """release, runtime: packages whose name matches their library's own pattern (source, pattern)."""
+    hits = packages.join(patterns, "source").where(F.regexp("name", F.col("pattern")) & ~scalars.has_suffix("name", scalars.FIRST_SURVEY_SUFFIXES))
+    return hits.groupBy("source", "release").agg(F.slice(F.array_sort(F.collect_set("name")), 1, most).alias("runtime"))
+
+
+def to_evict(entries: DataFrame, cache: str, budget: int, share: float = 0.7) -> DataFrame:
+    """The oldest entries (path, mtime, size) of each cache to drop so that it falls below share of its budget; none while within budget."""
+    w = Window.partitionBy(cache).orderBy("mtime", "path")
+    total = F.sum("size").over(Window.partitionBy(cache))
+    before = total - F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return entries.withColumn("_total", total).withColumn("_left", before).where((F.col("_total") >= budget) & (F.col("_left") >= share * budget)).drop("_total", "_left")

@@ -73,3 +73,9 @@ def churn(pairs: DataFrame) -> DataFrame:
         F.median(F.when(body > 0, body)).alias("body_median"),
         F.max(F.when(body > 0, body)).cast("bigint").alias("body_max"),
     )
+
+
+def with_language(jobs: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
+    """jobs with the language of their pair's result; cxx where there is none, so that nothing is parsed too narrowly."""
+    known = pairs.groupBy(key).agg(F.min("language").alias("language"))
+    return jobs.join(known, key, "left").withColumn("language", F.coalesce("language", F.lit("cxx")))

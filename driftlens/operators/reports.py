@@ -78,10 +78,11 @@ def first_match(df: DataFrame, text: str, rules: Sequence[tuple[str, str, str]])
 
 
 def nodes(reports: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line, depth, content, parent: the lines of whole reports as trees by their indentation.
+    """key, line, depth, content, parent, top: the lines of whole reports as trees by their indentation.
 
     parent is the line of the nearest line before with less indentation, 0 for
-    none. Blank lines are no nodes. A report is one row, so trees stay within it.
+    none; top the line of the outermost node above, or the node's own. Blank
+    lines are no nodes. A report is one row, so trees stay within it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,22 +96,61 @@ def nodes(reports: DataFrame, key: str, text: str) -> DataFrame:
                     indent = len(raw) - len(raw.lstrip(" "))
                     while open_ and open_[-1][0] >= indent:
                         open_.pop()
-                    out.append((k, n, len(open_), raw.strip(), open_[-1][1] if open_ else 0))
+                    out.append((k, n, len(open_), raw.strip(), open_[-1][1] if open_ else 0, open_[0][1] if open_ else n))
                     open_.append((indent, n))
                 if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip((key, "line", "depth", "content", "parent"), r, strict=True)) for r in out], schema=schema)
+                    yield pa.RecordBatch.from_pylist([dict(zip((key, "line", "depth", "content", "parent", "top"), r, strict=True)) for r in out], schema=schema)
 
     kind = dict(reports.dtypes)[key]
-    schema = pa.schema([(key, pa.int64() if kind in ("bigint", "int") else pa.string()), ("line", pa.int32()), ("depth", pa.int32()), ("content", pa.string()), ("parent", pa.int32())])
-    return reports.select(F.col(key).cast("bigint" if kind in ("bigint", "int") else "string").alias(key), text).mapInArrow(run, f"{key} {'bigint' if kind in ('bigint', 'int') else 'string'}, line int, depth int, content string, parent int")
+    schema = pa.schema([(key, pa.int64() if kind in ("bigint", "int") else pa.string()), ("line", pa.int32()), ("depth", pa.int32()), ("content", pa.string()), ("parent", pa.int32()), ("top", pa.int32())])
+    return reports.select(F.col(key).cast("bigint" if kind in ("bigint", "int") else "string").alias(key), text).mapInArrow(run, f"{key} {'bigint' if kind in ('bigint', 'int') else 'string'}, line int, depth int, content string, parent int, top int")
 
 
 def tag_counts(tree: DataFrame, key: str, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """key, tag, n summed over the nodes of a report."""
+    return _tagged(tree, key, rules).groupBy(key, "tag").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _tagged(tree: DataFrame, key: str, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """key, top, tag, n for each node that a rule matches."""
     children = tree.groupBy(key, F.col("parent").alias("line")).agg(F.count("*").alias("children"))
     tagged = first_match(tree, "content", rules).where("tag is not null").join(children, [key, "line"], "left")
     n = F.when(F.col("how") == "n", F.regexp_extract("content", r"^(\d+)", 1).try_cast("bigint")).when(F.col("how") == "child", F.coalesce("children", F.lit(0))).otherwise(1)
-    return tagged.groupBy(key, "tag").agg(F.sum(n).alias("n")).where("n > 0")
+    return tagged.select(key, "top", "tag", n.alias("n"))
+
+
+#: The header of a changed type's block, with and without its place.
+_BLOCK = r"^'((?:struct|class|union|enum|typedef)[^']*?)(?: at [^']*)?' changed:$"
+_BLOCK_PLACE = r"^'(?:struct|class|union|enum|typedef)[^']*? at ([^':]+):\d+:\d+' changed:$"
+SUMMARY = {
+    "leaf_artifacts": r"^Leaf changes summary: (\d+) artifacts? changed",
+    "leaf_types": r"^Changed leaf types summary: (\d+) .*leaf type",
+    "fn_removed": r"functions summary: (\d+) Removed",
+    "fn_changed": r"functions summary: \d+ Removed, (\d+) Changed",
+    "fn_added": r"functions summary: \d+ Removed, \d+ Changed, (\d+) Added",
+}
+
+
+def summaries(tree: DataFrame, key: str, first: int = 8) -> DataFrame:
+    """key and the figures of a report's summary, from its first lines; null where it has none."""
+    found = [F.max(F.when(F.col("content").rlike(p), F.regexp_extract("content", p, 1).try_cast("int"))).alias(n) for n, p in SUMMARY.items()]
+    return tree.where(F.col("line") <= first).groupBy(key).agg(*found)
+
+
+def scoped_counts(tree: DataFrame, key: str, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """key, type, file, tag, n: counts within each changed type's block; type is null for what is in none."""
+    heads = tree.where((F.col("depth") == 0) & F.col("content").rlike(_BLOCK))
+    heads = heads.select(key, F.col("line").alias("top"), F.regexp_extract("content", _BLOCK, 1).alias("type"), F.nullif(F.regexp_extract("content", _BLOCK_PLACE, 1), F.lit("")).alias("file"))
+    tagged = _tagged(tree, key, rules).join(heads, [key, "top"], "left")
+    return tagged.groupBy(key, "type", "file", "tag").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def own_and_third(scoped: DataFrame, own_headers: DataFrame, key: str) -> DataFrame:
+    """scoped counts with third_party by the base name of the type's file; unknown files, and reports without own headers, are own."""
+    own = own_headers.select(key, F.col("basename").alias("_base")).distinct().withColumn("_own", F.lit(True))
+    any_ = own_headers.select(key).distinct().withColumn("_any", F.lit(True))
+    out = scoped.withColumn("_base", F.substring_index("file", "/", -1)).join(own, [key, "_base"], "left").join(any_, key, "left")
+    return out.withColumn("third_party", F.col("_any").isNotNull() & F.col("file").isNotNull() & F.col("_own").isNull()).drop("_base", "_own", "_any")
 
 
 def merged(leaf: DataFrame, full: DataFrame, key: str) -> DataFrame:

@@ -55,3 +55,61 @@ def frequency_rows(s: Summary, language: str = "all") -> str:
 
 def verdict(share: float, least: float = 0.15) -> str:
     return "Worth it" if share >= least else "Marginal"
+
+
+def narrative(s: Summary) -> dict[str, str]:
+    """Values for a page's keys: verdicts by mechanism, the most unstable libraries, ratios, rows.
+
+    Prevalence of layout and enum changes counts a transition once; the sum over kinds stands beside it.
+    """
+    evolution = {r["mechanism"]: r for r in s.rescue["evolution"].collect()}
+    inline = {r["mechanism"]: r for r in s.rescue["inline"].collect()}
+    groups = {r["grp"]: r for r in s.layout_enum.collect()}
+    b, h, c = s.breaks.first(), s.churn.first(), s.corpus.first()
+    kinds = {r["kind"]: r for r in s.frequency.collect() if r["language"] == "all"}
+    fully = next(iter(evolution.values()))["fully_rescued"]
+
+    def row(name: str, mechanism: str, said: str, worth: str) -> str:
+        m = (inline if mechanism == taxonomy.INLINE else evolution)[mechanism]
+        return f"<tr><td>{name}</td><td>{said}; needed by {m['needed_by']:,} of {m['fully_rescued']:,} rescues, sole reason for {m['sole_reason']:,}</td><td>{worth}</td></tr>"
+
+    share = lambda mechanism: "No data" if not fully else verdict(evolution[mechanism]["needed_by"] / fully)
+    in_group = lambda g: f"in {groups[g]['transitions'] if g in groups else 0:,} transitions (summed over kinds {groups[g]['summed_prevalence'] if g in groups else 0:,})"
+    bodies = kinds["inline_body_changed"]["transitions"] if "inline_body_changed" in kinds else 0
+    tables = kinds["vtable_changed"]["transitions"] if "vtable_changed" in kinds else 0
+    verdicts = [
+        row("Opaque struct layout", taxonomy.LAYOUT, in_group("Layout"), share(taxonomy.LAYOUT)),
+        row("Non-frozen enums", taxonomy.ENUM, in_group("Enums"), share(taxonomy.ENUM)),
+        row("Resilient dispatch", taxonomy.DISPATCH, f"in {tables:,} transitions", share(taxonomy.DISPATCH)),
+        row("No implicit inlining", taxonomy.INLINE, f"bodies changed in {bodies:,} transitions", "Worth it" if bodies * 20 >= b["n"] else "Marginal"),
+    ]
+    unstable = s.unstable.collect()
+    return {
+        "transitions": f"{c['transitions']:,}",
+        "libraries": f"{c['sources']:,}",
+        "breaking": f"{b['breaking']:,}",
+        "breaking_share": percent(b["breaking"], b["n"]),
+        "silent_share": percent(b["silent"], b["breaking"]),
+        "body_events": f"{h['body_events']:,}",
+        "verdicts": "\n".join(verdicts),
+        "frequency": frequency_rows(s),
+        "rescue": "\n".join(rescue_rows(s, f) for f in taxonomy.FRAMINGS),
+        "unstable": "\n".join(f"<li>{html.escape(str(r['source']))}: {r['breaking']:,} of {r['total']:,}</li>" for r in unstable[:8]),
+        "unstable_names": ", ".join(str(r["source"]) for r in unstable[:3]),
+    }
+
+
+def rescue_rows(s: Summary, framing: str) -> str:
+    table = sorted(s.rescue[framing].collect(), key=lambda r: taxonomy.MECHANISMS.index(r["mechanism"]))
+    return "\n".join(f"<tr><td>{framing}</td><td>{r['mechanism']}</td><td>{r['needed_by']:,}</td><td>{r['sole_reason']:,}</td><td>{r['fully_rescued']:,}</td></tr>" for r in table)
+
+
+#: Keys of narrative() whose values are markup and go in as they are.
+MARKUP = ("verdicts", "frequency", "rescue", "unstable")
+
+
+def page(s: Summary, template: str) -> str:
+    values = narrative(s)
+    for k in MARKUP:
+        template = template.replace("{{" + k + "}}", values[k])
+    return filled(template, {k: v for k, v in values.items() if k not in MARKUP})

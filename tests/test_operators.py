@@ -168,3 +168,49 @@ def test_control_pairs(spark, arm):
     df = spark.createDataFrame([("s", "1.0", k) for k in (1, 2, 3)] + [("s", "2.0", 4)], "source string, upstream string, rev int")
     got = corpus.control_pairs(df, "source", "upstream", [F.desc("rev")], ["rev"]).collect()
     assert [(r["upstream"], r["new"]["rev"], r["old"]["rev"]) for r in got] == [("1.0", 3, 2)]
+
+
+def greedy(removed, added):
+    used, out = set(), []
+    for link, pretty in sorted(removed):
+        for k, (a, text) in enumerate(sorted(added)):
+            if k not in used and text != pretty:
+                used.add(k)
+                out.append((link, a))
+                break
+    return sorted(out)
+
+
+def test_overloads_are_paired_greedily(spark):
+    r = random.Random(11)
+    for _ in range(6):
+        make = lambda side: [("k", f"{side}{n}_{i}", f"text{r.randrange(4)}", f"name{n}", None, True, "int", []) for n in range(4) for i in range(r.randrange(4))]
+        removed, added = make("r"), make("a")
+        got = sorted((x["r"]["linkage"], x["a"]["linkage"]) for x in changes.signature_pairs(spark.createDataFrame(removed, SYMBOLS), spark.createDataFrame(added, SYMBOLS), ["k"]).collect())
+        want = [p for n in range(4) for p in greedy([(x[1], x[2]) for x in removed if x[3] == f"name{n}"], [(x[1], x[2]) for x in added if x[3] == f"name{n}"])]
+        assert got == sorted(want)
+
+
+def test_scoped_counts_and_summary(spark):
+    text = "Leaf changes summary: 3 artifacts changed\nChanged leaf types summary: 2 (1 filtered out) leaf types changed\nRemoved/Changed/Added functions summary: 4 Removed, 5 Changed, 6 Added functions\n\n'struct A at own.h:3:1' changed:\n  type size changed from 64 to 96 (in bits)\n'struct B at /usr/other.h:9:1' changed:\n  type size changed from 8 to 16 (in bits)\n  1 data member insertion:\n    'int z'\nreturn type changed:\n"
+    tree = reports.nodes(spark.createDataFrame([("r", text)], "id string, text string"), "id", "text")
+    assert reports.summaries(tree, "id").first()[1:] == (3, 2, 4, 5, 6)
+    own = spark.createDataFrame([("r", "own.h")], "id string, basename string")
+    got = {(x["type"], x["tag"]): x["third_party"] for x in reports.own_and_third(reports.scoped_counts(tree, "id"), own, "id").collect()}
+    assert got == {("struct A", "type_size_changed"): False, ("struct B", "type_size_changed"): True, ("struct B", "struct_field_added"): True, (None, "fn_return_type_changed"): False}
+
+
+def test_candidates_builds_patterns_and_eviction(spark):
+    frame = spark.createDataFrame
+    popcon = frame([(1, "liba1", 9), (2, "libb2", 8), (3, "libc-dev", 7), (4, "libd1", 6)], "rank int, name string, installs bigint")
+    depends = frame([("liba1", "libc6, libstdc++6"), ("libb2", "libc6")], "name string, depends string")
+    origins = frame([("liba1", "a"), ("libb2", "b"), ("libc-dev", "c")], "binary string, source string")
+    packages = frame([("a", "liba1-dbgsym"), ("a", "liba-dev"), ("b", "libb2-dbgsym")], "source string, name string")
+    got = {r["binary"]: (r["language"], r["usable"]) for r in corpus.candidates(popcon, depends, origins, packages).collect()}
+    assert got == {"liba1": ("cxx", True), "libb2": ("c", False)}
+    builds = frame([("n", "1.9-1", "h1"), ("n", "1.10-1", "h2"), ("n", "bad:1", "h3")], "name string, version string, hash string")
+    assert [(r["version"], r["hash"]) for r in corpus.newest_builds(builds, ["name"]).collect()] == [("1.10-1", "h2")]
+    named = frame([("s", "r", "libz1"), ("s", "r", "libz-dev"), ("s", "r", "other")], "source string, release string, name string")
+    assert corpus.roles_by_pattern(named, frame([("s", "^libz")], "source string, pattern string")).first()["runtime"] == ["libz1"]
+    entries = frame([("c", "p1", 1, 40), ("c", "p2", 2, 40), ("c", "p3", 3, 40), ("d", "p4", 1, 10)], "cache string, path string, mtime int, size int")
+    assert sorted(r["path"] for r in corpus.to_evict(entries, "cache", 100).collect()) == ["p1", "p2"]

@@ -110,3 +110,34 @@ def test_compressed_text_and_preferences(spark, tmp_path):
     assert sorted(r["text"] for r in archive.read_compressed_text(spark, f"{tmp_path}/t").collect()) == ["one", "three", "two"]
     files = spark.createDataFrame([("x", "all", "h1"), ("x", "amd64", "h2"), ("y", "i386", "h3"), ("z", "all", "h4")], "name string, architecture string, hash string")
     assert sorted((r["name"], r["hash"]) for r in archive.preferred_files(files, ["name"]).collect()) == [("x", "h2"), ("z", "h4")]
+
+
+def test_page_and_command_line(spark, folder, capsys):
+    import driftlens.__main__ as command
+
+    (folder / "t.html").write_text("<p>{{breaking}} of {{transitions}} in {{unknown}}</p><table>{{verdicts}}{{rescue}}</table><ul>{{unstable}}</ul>")
+    s = study.analyse(study.from_artifacts(spark, f"{folder}/pairs", f"{folder}/headers"))
+    page = rendering.page(s, (folder / "t.html").read_text())
+    assert "<p>2 of 4 in {{unknown}}</p>" in page and "Opaque struct layout" in page and "<li>a: 2 of 2</li>" in page
+    assert page.count("<tr>") == 4 + 12
+    with pytest.raises(SystemExit) as e:
+        command.main(["nonsense"])
+    assert e.value.code == 2
+
+
+def test_elf_symbols(spark):
+    from pathlib import Path
+
+    from driftlens.sources import elf
+
+    found = sorted(Path("/").glob("lib*/*-linux-gnu/libc.so.6"))
+    if not found:
+        pytest.skip("no C library to read")
+    files = spark.createDataFrame([("p", "lib/libc.so.6", found[0].read_bytes()), ("p", "x.h", b"int"), ("p", "none", None)], "package string, path string, content binary")
+    got = {r["linkage"]: r for r in elf.exported_symbols(files).collect()}
+    assert {r["soname"] for r in got.values()} == {"libc.so.6"} and len(got) > 1000
+    assert got["printf"]["is_function"] and got["printf"]["version"].startswith("GLIBC_")
+    assert not got["environ"]["is_function"] if "environ" in got else True
+    assert any(r["version"] == "GLIBC_PRIVATE" for r in got.values())
+    with pytest.raises(ValueError, match="not an ELF"):
+        elf.read(b"junk")
