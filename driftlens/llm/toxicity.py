@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from . import common
 
@@ -29,21 +30,21 @@ N_DENSE = 4
 
 def word_features(word: bytes) -> list[int]:
     """Hashed features of one word: the whole without marks at its ends, and its beginnings."""
-    from xxhash import xxh64_intdigest
-
     text = _EDGE.sub(b"", word).decode("utf-8", "replace").lower()
     if not text:
         return []
-    parts = [f"={text[:40]}", *(f"^{text[:n]}" for n in PREFIXES if len(text) >= n)]
+    parts = [f"={text}", *(f"^{text[:n]}" for n in PREFIXES if len(text) >= n)]
     return [xxh64_intdigest(p.encode(), 7) & ((1 << BITS) - 1) for p in parts]
 
 
+_CAPITALS, _DIGITS, _SIGNS = bytes(range(65, 91)), bytes(range(48, 58)), b"#*$%&|<>!"
+
+
 def dense(text: bytes, words: list[bytes], distinct: int) -> list[float]:
     """Shares that don't depend on single words: marks, capitals, digits, repeats."""
     size, n = max(1, len(text)), max(1, len(words))
-    marks = sum(text.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">", b"!"))
-    capitals = len(text) - sum(a == b for a, b in zip(text[:2000], text[:2000].lower(), strict=True)) - max(0, len(text) - 2000)
-    return [marks / size, capitals / min(size, 2000), sum(text.count(b"%d" % d) for d in range(10)) / size, 1 - distinct / n if words else 0.0]
+    share = lambda kind: (len(text) - len(text.translate(None, kind))) / size
+    return [share(_SIGNS), share(_CAPITALS), share(_DIGITS), 1 - distinct / n if words else 0.0]
 
 
 @dataclass
@@ -161,9 +162,12 @@ def _features():
                 memo.clear()
             keys: set[int] = set()
             for w in distinct:
-                if w not in memo:
-                    memo[w] = word_features(w)
-                keys.update(memo[w])
+                got = memo.get(w)
+                if got is None:
+                    got = word_features(w)
+                    if len(w) <= 64:
+                        memo[w] = got
+                keys.update(got)
             yield doc_id, np.sort(np.fromiter(keys, np.int32, len(keys))).tobytes(), np.array(dense(text, words, len(distinct))).tobytes(), *labels
 
     return rows
@@ -193,32 +197,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> Chain:
 
 
 class Scorer:
-    """The chain on whole texts: features that no link uses are forgotten word by word."""
+    """The chain on whole texts. It remembers the words it has met, and of those that matter their features."""
 
-    def __init__(self, chain: Chain):
-        self.chain, self.memo = chain, {}
+    def __init__(self, chain: Chain, limit: int = 400_000):
+        self.chain, self.limit, self.met, self.matter, self.features = chain, limit, set(), set(), {}
         self.used = {int(k) for link in chain.links for k in link.keys}
         self.weight = [dict(zip(link.keys.tolist(), link.weights.tolist(), strict=True)) for link in chain.links]
 
+    def keys(self, distinct: set[bytes]) -> set[int]:
+        if len(self.met) > self.limit:
+            self.met, self.matter, self.features = set(), set(), {}
+        for w in distinct - self.met:
+            got = [k for k in word_features(w) if k in self.used]
+            if got:
+                self.features[w] = got
+                self.matter.add(w)
+            self.met.add(w)
+        return {k for w in distinct & self.matter for k in self.features[w]}
+
     def __call__(self, text: bytes) -> list[float]:
         words = text.lower().split()
         if not words:
             return [0.0] * len(self.chain.links)
         distinct = set(words)
-        if len(self.memo) > 400_000:
-            self.memo.clear()
-        memo, keys = self.memo, set()
-        for w in distinct:
-            got = memo.get(w)
-            if got is None:
-                got = memo[w] = tuple(k for k in word_features(w) if k in self.used)
-            if got:
-                keys.update(got)
+        keys = sorted(self.keys(distinct))
         known, out = dense(text, words, len(distinct)), []
         for link, weight in zip(self.chain.links, self.weight, strict=True):
             z = link.bias
             if len(link.extra):
-                z += sum(weight.get(k, 0.0) for k in sorted(keys)) + float(np.dot(known, link.extra))
+                z += sum([weight[k] for k in keys if k in weight]) + float(np.dot(known, link.extra))
             out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             known = [*known, out[-1]]
         return out
