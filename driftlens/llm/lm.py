@@ -8,7 +8,8 @@ normalised log-probabilities; within a bucket a word has its add-one share of th
 training counts, so that probabilities of words add up to one as well.
 
 Counts cover all training texts: combined on the map side, then summed by word.
-Training passes over all training texts too, in two rounds on disjoint halves:
+Texts are then turned into units once and written, a byte a token. Training
+passes over those of all training texts, in two rounds on disjoint halves:
 every task starts from the shared model and the task models are averaged by
 tokens, summed on the executors. The counts of the most frequent words (at most
 ``most_words``) are broadcast; rarer words meet their counts in a join.
@@ -227,28 +228,71 @@ def vocabulary(counts: DataFrame, most_words: int) -> Vocabulary:
     return Vocabulary(tokens, distinct, {w: k for k, w in enumerate(words)}, c, units, inside, mass / mass.sum())
 
 
+def _encode(vocab: Broadcast, size: int = 65_536):
+    """Rows (doc_id, held_out, half, text) to ENCODED."""
+
+    def rows(given):
+        import uuid
+
+        v, rid = vocab.value, uuid.uuid4().int >> 66
+        log_c = np.log10(v.counts + 1.0)
+
+        def block(held, words, starts):
+            nonlocal rid
+            at, units, rare = v.places(words)
+            known = at > 0 if not v.counts[0] else at >= 0
+            base = np.where(at >= 0, log_c[at], 0.0)
+            inner = np.where(at > WORDS, base, 0.0) - v.inside[units]
+            sums = [np.add.reduceat(x, starts).tolist() for x in (known.astype(np.int64), base, inner, (at < 0).astype(np.int64))]
+            raw, ends, lo = units.astype(np.uint8).tobytes(), [*starts[1:], len(words)], 0
+            for row, start, end, n_known, b, i, n_rare in zip(held, starts, ends, *sums, strict=True):
+                few = Counter(rare[lo : lo + n_rare])
+                lo += n_rare
+                yield rid, *row, end - start, n_known, b, i, raw[start:end], [{"word": w, "n": k} for w, k in few.items()]
+                rid += 1
+
+        held, words, starts = [], [], []
+        for *row, text in given:
+            held.append(row)
+            starts.append(len(words))
+            words += text.lower().split()
+            words.append(END)
+            if len(words) >= size:
+                yield from block(held, words, starts)
+                held, words, starts = [], [], []
+        if held:
+            yield from block(held, words, starts)
+
+    return rows
+
+
+ENCODED = "rid long, doc_id long, held_out boolean, half int, n_tokens long, known long, base double, inner double, units binary, rare array<struct<word: binary, n: long>>"
+
+
 def _blocks(given, size: int):
-    """(rows, all their words with an end after each text, places where texts begin) of about size tokens."""
-    held, words, starts = [], [], []
-    for *row, text in given:
+    """(rows without their units, all units, places where texts begin) of about size tokens."""
+    held, parts, n = [], [], 0
+    for *row, units in given:
         held.append(row)
-        starts.append(len(words))
-        words += text.lower().split()
-        words.append(END)
-        if len(words) >= size:
-            yield held, words, np.array(starts)
-            held, words, starts = [], [], []
+        parts.append(units)
+        n += len(units)
+        if n >= size:
+            yield held, *_joined(parts)
+            held, parts, n = [], [], 0
     if held:
-        yield held, words, np.array(starts)
+        yield held, *_joined(parts)
 
 
-def _train(vocab: Broadcast, shared: Broadcast, batch: int):
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), np.uint8).astype(np.int64), np.cumsum([0, *map(len, parts[:-1])])
+
+
+def _train(unigram: np.ndarray, shared: Broadcast, batch: int):
     def rows(given):
-        v, trainer, seen = vocab.value, None, 0
-        for _, words, starts in _blocks(given, 16 * batch):
+        trainer, seen = None, 0
+        for _, units, starts in _blocks(given, 16 * batch):
             if trainer is None:  # noise differs between tasks and is the same when a task runs again
-                trainer = Trainer(Model.unpacked(shared.value), v.unigram, zlib.crc32(b" ".join(words[:99])))
-            _, units, _ = v.places(words)
+                trainer = Trainer(Model.unpacked(shared.value), unigram, zlib.crc32(units[:999].tobytes()))
             context = contexts(units, starts)
             for lo in range(0, len(units), batch):
                 trainer.step(context[lo : lo + batch], units[lo : lo + batch])
@@ -260,41 +304,30 @@ def _train(vocab: Broadcast, shared: Broadcast, batch: int):
     return rows
 
 
-def train(texts: DataFrame, vocab: Vocabulary, sent: Broadcast, batch: int = 4096) -> Model:
-    """texts has the columns text (bytes) and half (0 or 1); a round passes over each half."""
-    spark, flat = texts.sparkSession, Model.fresh(vocab.unigram).packed()
+def train(encoded: DataFrame, unigram: np.ndarray, batch: int = 4096) -> Model:
+    """encoded has the columns units and half (0 or 1); a round passes over each half."""
+    spark, flat = encoded.sparkSession, Model.fresh(unigram).packed()
     for half in (0, 1):
         shared = spark.sparkContext.broadcast(flat)
-        part = common.arrow_pass(texts.where(F.col("half") == half).select("text"), _train(sent, shared, batch), "at int, x double, n long")
+        part = common.arrow_pass(encoded.where(F.col("half") == half).select("units"), _train(unigram, shared, batch), "at int, x double, n long")
         sums = part.groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # as many rows as the model has numbers
         for at, x, n in sums:
             flat[at] = x / n
     return Model.unpacked(flat)
 
 
-def _score(vocab: Broadcast, model: Broadcast):
+def _score(model: Broadcast):
     def rows(given):
-        import uuid
-
-        v, m = vocab.value, Model.unpacked(model.value)
-        log_c, rid = np.log10(v.counts + 1.0), uuid.uuid4().int >> 66
-        for held, words, starts in _blocks(given, 65_536):
-            at, units, rare = v.places(words)
-            known = at > 0 if not v.counts[0] else at >= 0
-            base = np.where(at >= 0, log_c[at], 0.0)
-            logs = m.log_probabilities(contexts(units, starts), units) / np.log(10) - v.inside[units] + np.where(at > WORDS, base, 0.0)
-            sums = [np.add.reduceat(x, starts).tolist() for x in (known.astype(np.int64), base, logs, (at < 0).astype(np.int64))]
-            lengths, lo = np.diff(np.append(starts, len(words))).tolist(), 0
-            for (doc_id, out), n, n_known, b, s, n_rare in zip(held, lengths, *sums, strict=True):
-                few = Counter(rare[lo : lo + n_rare])
-                lo += n_rare
-                yield rid, doc_id, out, n, n_known, b, s, [{"word": w, "n": k} for w, k in few.items()]
-                rid += 1
+        m = Model.unpacked(model.value)
+        for held, units, starts in _blocks(given, 65_536):
+            sums = np.add.reduceat(m.log_probabilities(contexts(units, starts), units) / np.log(10), starts).tolist()
+            for (*row, inner), x in zip(held, sums, strict=True):
+                yield *row, x + inner
 
     return rows
 
 
-PARTIAL = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: long>>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double"
 
 
 def score_texts(docs: DataFrame, most_words: int = 200_000) -> DataFrame:
@@ -307,19 +340,20 @@ def score_texts(docs: DataFrame, most_words: int = 200_000) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), common.utf8().alias("text"))
-    learning = rows.where(~F.col("held_out")).select("text", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).alias("half"))
-    counts = count_words(learning)
+    counts = count_words(rows.where(~F.col("held_out")))
     vocab = vocabulary(counts, most_words)
-    sent = spark.sparkContext.broadcast(vocab)
-    model = spark.sparkContext.broadcast(train(learning, vocab, sent).packed())
-    partial = common.written(common.arrow_pass(rows, _score(sent, model), PARTIAL, 256), "scored")
-    rare = partial.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int")
+    encoded = common.arrow_pass(rows.select("doc_id", "held_out", half.alias("half"), "text"), _encode(spark.sparkContext.broadcast(vocab)), ENCODED, 256)
+    encoded = common.written(encoded, "encoded")
+    model = spark.sparkContext.broadcast(train(encoded.where(~F.col("held_out")), vocab.unigram).packed())
+    scored = common.arrow_pass(encoded.select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner", "units"), _score(model), SCORED)
+    rare = encoded.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     least = int(vocab.counts[1:].min(initial=2**62))
     few = counts.where((F.col("c") < least) & (F.length("word") > 0))
     found = rare.join(few, "word").groupBy("rid").agg(F.sum("n").alias("known_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log_rare"))
     found = common.written(found, "rare-words")
     zero = F.lit(0.0)
-    out = partial.drop("rare").join(found, "rid", "left")
+    out = scored.join(found, "rid", "left")
     return out.select(
         "doc_id",
         "held_out",
