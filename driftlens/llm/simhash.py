@@ -248,16 +248,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, most: int =
 
 
 def one_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id leads its set; of rows that repeat an id, one stays."""
-    found = near_duplicates(docs, words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    lead = common.written(found.groupBy(F.col("doc_id").alias("_lead")).agg(F.count("*").alias("_n")), "leads")
+    """The rows of docs, with all their columns, whose doc_id leads its set; of rows that repeat an id, one stays.
 
-    def kept(leads: DataFrame) -> DataFrame:
-        return docs.join(leads, F.col("doc_id").cast("long").eqNullSafe(F.col("_lead")), "left_semi")
-
-    if lead.where("_n > 1").isEmpty():
-        return kept(lead)
-    return kept(lead.where("_n = 1")).unionByName(kept(lead.where("_n > 1")).dropDuplicates(["doc_id"]))
+    docs meets only the ids that don't stay as they are, which are few next to those that do.
+    """
+    found = near_duplicates(docs, words, bits).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_leads"), F.count("*").alias("_n"))
+    other = common.written(found.where("not _leads or _n > 1"), "not-alone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    kept, again = docs.join(other.select("_id"), same, "left_anti"), other.where("_leads").select("_id")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
