@@ -12,7 +12,9 @@ length that many pieces share is spread over many tasks.
 from __future__ import annotations
 
 import bisect
+import gc
 import re
+import struct
 import zlib
 from collections import defaultdict
 from itertools import compress, repeat
@@ -31,6 +33,10 @@ _CUT = re.compile("[ \t\n\v\f\r]+")
 _TOKENIZERS: dict = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class CachedTokenizer:
     """Little-endian ids of whole texts, put together from those of runs between white space.
 
@@ -59,21 +65,23 @@ class CachedTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        """Frees the memory; at the end of a task, as workers stay."""
+        self.young, self.old, self.marks = {}, {}, {"": b""}
+
     def _one_by_one(self, texts: list[str]) -> dict[str, bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(texts, got, strict=True)}
+        return {w: _packed(e.ids) for w, e in zip(texts, got, strict=True)}
 
-    def _letters(self, words: list[str], group: int = 200) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+    def _letters(self, words: list[str], out: dict[str, bytes], group: int = 200) -> None:
         groups = [words[at : at + group] for at in range(0, len(words), group)]
         for part, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            raw, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = _packed(e.ids)
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
             if len(cuts) == len(part):
                 out.update(zip(part, [raw[lo:hi] for lo, hi in zip([0, *cuts], cuts)], strict=True))
             else:
                 out.update(self._one_by_one(part))
-        return out
 
     def _missing(self, wanted: set[str]) -> dict[str, bytes]:
         """Ids of runs that the young memory lacks; it gets those that are kept."""
@@ -102,7 +110,7 @@ class CachedTokenizer:
                 letters.append(key)
             else:
                 new[key] = got
-        new.update(self._letters(letters))
+        self._letters(letters, new)
         if len(marks) > 100_000:
             marks = self.marks = {"": b""}
         marks.update(self._one_by_one(list({m for _, _, m in halves} - marks.keys())))
@@ -152,12 +160,17 @@ def _pieces(path: str, end_id: int, capacity: int):
     def rows(given):
         encoder = tokenizer(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in _batches(given):
-            for (doc_id, _), ids in zip(batch, encoder.encode([t for _, t in batch]), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)
+        gc.disable()  # nothing here makes cycles, and each pass would go through the memory
+        try:
+            for batch in _batches(given):
+                for (doc_id, _), ids in zip(batch, encoder.encode([t for _, t in batch]), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)
+        finally:
+            gc.enable()
+            encoder.forget()
 
     return rows
 
