@@ -7,6 +7,7 @@ Words are runs of anything but ``[\\x20\\x09-\\x0D]``, which is what
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; where the session names none, a temporary one if it runs on one machine."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         given = tempfile.mkdtemp(prefix="driftlens-")
@@ -63,6 +66,15 @@ def utf8(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
 
 
+def release() -> None:
+    """Gives freed memory back to the system; at the end of a task, as workers stay and wait."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_pass(df: DataFrame, rows: Callable[[Iterable[tuple]], Iterable[tuple]], schema: str, batch: int = 4096) -> DataFrame:
     """df through rows(), which turns an iterator of tuples into one of tuples of schema.
 
@@ -83,13 +95,16 @@ def arrow_pass(df: DataFrame, rows: Callable[[Iterable[tuple]], Iterable[tuple]]
                     yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
         held: list[tuple] = []
-        for row in rows(tuples()):
-            held.append(row)
-            if len(held) >= batch:
+        try:
+            for row in rows(tuples()):
+                held.append(row)
+                if len(held) >= batch:
+                    yield pack(held)
+                    held = []
+            if held:
                 yield pack(held)
-                held = []
-        if held:
-            yield pack(held)
+        finally:
+            release()
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
@@ -111,7 +126,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes], memo: dict[bytes, int], limit: int = 400_000) -> np.ndarray:
-    """XXH64 of each word; memo saves most calls and is emptied at limit words."""
+    """XXH64 of each word; memo saves most calls, holds no long words and is emptied at limit words."""
     from xxhash import xxh64_intdigest
 
     if len(memo) > limit:
@@ -121,7 +136,9 @@ def word_hashes(words: list[bytes], memo: dict[bytes, int], limit: int = 400_000
     for i, w in enumerate(words):
         h = get(w)
         if h is None:
-            h = memo[w] = xxh64_intdigest(w, 42)
+            h = xxh64_intdigest(w, 42)
+            if len(w) <= 64:
+                memo[w] = h
         out[i] = h
     return out
 
@@ -149,5 +166,6 @@ def arrow_filter(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], col:
                 part = b.slice(lo, 256)
                 texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
                 yield part.filter(pa.array(keep(texts), pa.bool_()))
+        release()
 
     return df.mapInArrow(run, df.schema)
