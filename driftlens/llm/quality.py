@@ -62,7 +62,8 @@ def default_rules() -> dict[str, Column]:
         "duplicate_lines": 100 * F.col("n_dup_lines") > 30 * F.size("lines"),
         "exclamations": 100 * count_of(F.col("text"), "!") > 30 * n,
         "capitals": 100 * (F.col("word_chars") - F.length(F.regexp_replace("text", r"[\p{Lu}\s]+", ""))) > 50 * F.col("word_chars"),
-        "one_word": F.exists(F.sequence(F.lit(0), F.greatest(n.cast("int") - 20, F.lit(0)), F.lit(7)), lambda i: F.size(F.array_distinct(F.slice("words", i + 1, 20))) == 1) & (n >= 20),
+        # every window of 20 words; its ends are compared first, so few are cut out
+        "one_word": (n >= 20) & F.exists(F.sequence(F.lit(0), F.greatest(n.cast("int") - 20, F.lit(0))), lambda i: (F.get("words", i) == F.get("words", i + 19)) & (F.size(F.array_distinct(F.slice("words", i + 1, 20))) == 1)),
     }
 
 

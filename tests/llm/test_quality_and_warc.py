@@ -42,6 +42,13 @@ def test_cascade_keeps_the_same_in_any_order(spark):
     assert not any(x in plan for x in ("PythonUDF", "InPandas", "InArrow", "EvalPython"))
 
 
+def test_runs_of_one_word_are_found_at_any_place(spark):
+    other = [f"word{k}" for k in range(60)]
+    rows = [(100 * size + at, " ".join(other[:at] + ["again"] * size + other[at:])) for size in (19, 20, 21, 25) for at in (*range(8), 53, 60)]
+    got = {x["doc_id"]: x["rejected_by"] for x in quality.judge(docs(spark, rows)).collect()}
+    assert got == {i: "one_word" if i >= 2000 else None for i, _ in rows}
+
+
 PAGES = "page_id long, url string, html string, digest string, _row string"
 
 
