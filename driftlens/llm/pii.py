@@ -2,7 +2,9 @@
 
 Fixed patterns give the base spans, which always stay. The field then looks at
 the text around digits and at-signs that they left uncovered: every run of up to
-``MOST_PARTS`` tokens is a candidate segment for each kind whose shape it can have, scored by
+``MOST_PARTS`` tokens is a candidate segment for each kind whose shape it can have (no card,
+phone number or IP address has more), and so is every whole address around a word for
+an at-sign, with each number of domain parts; all are scored by
 features of the whole span (its digits, groups, separators, check sum and the
 words before it), and dynamic programming over the candidates chooses boundaries
 and kinds together. Text outside of segments scores zero. So the field finds what
@@ -122,10 +124,61 @@ SHAPES = {
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def candidates(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
-    """Segments of up to MOST_PARTS tokens of text[lo:hi] that have a kind's shape."""
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
+#: The parts of the shape of an address: its at-sign, then labels with dots between them.
+_AT = re.compile(r"@|[(\[]at[)\]]| at(?= )")
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_DOT = re.compile(r" ?(?:\.|[(\[]dot[)\]]| dot ) ?")
+_GOES_ON = re.compile(r" ?(?:[(\[]dot[)\]]| dot ) ?[A-Za-z0-9]|\.[A-Za-z0-9]")
+#: A domain name has no more parts.
+MOST_LABELS = 127
+
+
+def addresses(text: str, floor: int, stop: int) -> list[tuple[int, int, str]]:
+    """Every whole address of text[floor:stop], from the start of its local part to the end of each part of its domain."""
     out = []
+    for m in _AT.finditer(text, floor, stop):
+        last, at = m.start(), m.end()
+        if last > floor and text[last - 1] == " ":
+            last -= 1
+        start = last
+        while start > floor and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < last and not (text[start].isalnum() or text[start] == "+"):
+            start += 1
+        if start == last:
+            continue
+        if text[m.start()] == " ":
+            at += 1
+        if text[at : at + 1] == " ":
+            at += 1
+        label = _LABEL.match(text, at, stop)
+        for _ in range(MOST_LABELS - 1):
+            dot = _DOT.match(text, label.end(), stop) if label else None
+            label = _LABEL.match(text, dot.end(), stop) if dot else None
+            if not label:
+                break
+            end = label.start() + len(label[0].rstrip("-"))
+            if end > label.start() and end - start >= 7:
+                out.append((start, end, "email"))
+    return out
+
+
+def _cut(text: str, at: int) -> bool:
+    """Whether at is within a token."""
+    pair = text[at - 1 : at + 1] if 0 < at < len(text) else ""
+    return len(pair) == 2 and pair.isascii() and (pair.isalpha() or pair.isdigit())
+
+
+def candidates(text: str, lo: int, hi: int, whole: list[tuple[int, int, str]] | None = None) -> list[tuple[int, int, str]]:
+    """Segments of up to MOST_PARTS tokens of text[lo:hi] that have a kind's shape, and the whole addresses that reach into it."""
+    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
+    if tokens and _cut(text, lo):
+        tokens.pop(0)
+    if tokens and _cut(text, hi):
+        tokens.pop()
+    whole = addresses(text, lo, hi) if whole is None else whole
+    out = [s for s in whole if s[0] < hi and s[1] > lo]
+    have = set(out)
     for i, (start, _) in enumerate(tokens):
         c = text[start]
         if not (c.isascii() and (c.isalnum() or c in "+(")):
@@ -136,7 +189,7 @@ def candidates(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
             if not (last.isascii() and last.isalnum()) or end - start < 7 or end - start > 60:
                 continue
             span = text[start:end]
-            out += [(start, end, kind) for kind in kinds if SHAPES[kind].fullmatch(span) and _could_be(kind, span)]
+            out += [(start, end, kind) for kind in kinds if (start, end, kind) not in have and SHAPES[kind].fullmatch(span) and _could_be(kind, span)]
     return out
 
 
@@ -162,7 +215,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[str]:
     elif kind == "phone":
         out += [f"plus={span[0] == '+'}", f"paren={'(' in span}", f"balanced={span.count('(') == span.count(')')}", f"last={len(groups[-1])}", f"luhn16={len(digits) >= 13 and luhn(digits)}", f"four={len(groups) > 1 and all(len(g) == 4 for g in groups)}"]
     elif kind == "email":
-        out += [f"written={'@' not in span}", f"spaced={' ' in span}", f"top={span.rsplit('.', 1)[-1][-3:].isalpha()}", f"bracket={'(' in span or '[' in span}"]
+        out += [f"written={'@' not in span}", f"spaced={' ' in span}", f"top={span.rsplit('.', 1)[-1][-3:].isalpha()}", f"bracket={'(' in span or '[' in span}", f"goes_on={_GOES_ON.match(text, end) is not None}"]
     out += [f"left={_side(before[-1:])}", f"right={_side(after[:1])}{'d' if after[1:2].isdigit() and not after[:1].isalnum() else ''}"]
     words = {w.lower() for w in _WORD.findall(before)[-3:]}
     out += [f"cue={k}" for k, known in CUES.items() if words & known] or ["cue=-"]
@@ -233,7 +286,9 @@ def generated(n: int, seed: int = 5) -> list[tuple[str, set[tuple[int, int, str]
 
     def email():
         user, host, top = f"{word()}{r.choice(('', '.', '_'))}{r.choice((digits(2), word()))}", word(), r.choice(("com", "org", "net", "fr"))
-        return r.choice((f"{user} (at) {host} (dot) {top}", f"{user}[at]{host}[dot]{top}", f"{user} at {host} dot {top}", f"{user}@{host}.{top}", f"{user} @ {host}.{top}"))
+        domain = [host, *(word() for _ in range(r.choice((0, 0, 1, 2)))), top]
+        at, dot = r.choice(((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("@", "."), (" @ ", ".")))
+        return user + at + dot.join(domain)
 
     def ip():
         return ".".join(str(r.randint(0, 255)) for _ in range(4))
@@ -282,7 +337,10 @@ def added_spans(text: str, base: list[tuple[int, int, str]], weights: dict[str,
     """What the field finds in the stretches around digits, at-signs and words for them, outside of base spans."""
     edges = _merged([(s, e) for s, e, _ in base])
     hint = _ANY_HINT if any(w in text for w in _WRITTEN) else _HINT
-    out, size, k, at = [], len(text), 0, 0
+    size, k, at = len(text), 0, 0
+    gaps = zip([0, *(e for _, e in edges)], [*(s for s, _ in edges), size], strict=True)
+    whole = [s for lo, hi in gaps for s in addresses(text, lo, hi)]
+    from_, found = 0, {}
     while at < size:
         m = hint.search(text, at)
         if not m:
@@ -301,9 +359,14 @@ def added_spans(text: str, base: list[tuple[int, int, str]], weights: dict[str,
             end = n.end()
         lo, hi = max(floor, at - REACH), min(stop, end + REACH)
         if end - at >= 6 or "@" in text[at:end] or hint is _ANY_HINT:
-            out += decode(text, candidates(text, lo, hi), weights)
-        at = max(end, out[-1][1] if out else 0)
-    return [s for i, s in enumerate(out) if not i or s[0] >= out[i - 1][1]]
+            while from_ < len(whole) and whole[from_][1] <= lo:
+                from_ += 1
+            to = from_
+            while to < len(whole) and whole[to][0] < hi:
+                to += 1
+            found |= dict.fromkeys(candidates(text, lo, hi, whole[from_:to]))
+        at = end
+    return decode(text, list(found), weights)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -106,6 +106,19 @@ def test_field_on_held_out_sentences(spark):
     assert got == sorted([(1, [("email", 2, 8, True)]), (1, [("email", 2, 8, True)]), (2, []), (3, []), (None, [("ip", 0, 7, True)]), (4, [("email", 50_001, 50_007, True)])], key=str)
 
 
+def test_whole_addresses_are_candidates():
+    for text, gold in pii.generated(500):
+        assert gold <= set(pii.candidates(text, 0, len(text))), text
+    weights = pii.train()
+    label = "a" * 45
+    for span in ("anna.lee (at) host (dot) com", "anna_lee (at) host (dot) com", "info (at) mail (dot) host (dot) org", "anna.lee at host dot co dot uk", f"anna.lee.of.{label} (at) host (dot) {label} (dot) org", f"anna at {label} dot co dot uk"):
+        for text in (span, f"mail {span}, or ring", f"é a@b.cd write {span}\n then 1.2.3.4"):
+            at = text.index(span)
+            assert (at, at + len(span), "email") in pii.candidates(text, at + 3, at + 9, pii.addresses(text, at, len(text)))
+            got = [text[s:e] for s, e, k in pii.added_spans(text, pii.base_spans(text), weights)]
+            assert got == [span] or span == text and got == [], text  # whole or, where nothing announces it, left alone
+
+
 def test_decoding_takes_the_best_disjoint_set():
     text = "x"
     found = [(0, 4, "a"), (3, 8, "b"), (8, 9, "c"), (4, 8, "d")]
