@@ -252,7 +252,12 @@ def one_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
 
     docs meets only the ids that don't stay as they are, which are few next to those that do.
     """
-    found = near_duplicates(docs, words, bits).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_leads"), F.count("*").alias("_n"))
+    return leading(docs, near_duplicates(docs, words, bits))
+
+
+def leading(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """one_of_each for sets given by found (doc_id, component_id)."""
+    found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_leads"), F.count("*").alias("_n"))
     other = common.written(found.where("not _leads or _n > 1"), "not-alone")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
     kept, again = docs.join(other.select("_id"), same, "left_anti"), other.where("_leads").select("_id")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from driftlens.llm import decontamination, simhash
+from driftlens.llm import decontamination, near_copies, simhash
 
 from .helpers import docs, words
 
@@ -120,3 +120,39 @@ def test_block_choices_cover_four_differences():
         for _ in range(300):
             diff = sum(1 << b for b in r.sample(range(64), 4))
             assert any(not diff & m for m in masks)
+
+
+def copies_brute(rows, n=5, similarity=0.8):
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (words(t or "") for _, t in rows)]
+    label = [2**63 - 1 if i is None else i for i, _ in rows]
+    near = [[j for j, b in enumerate(sets) if len(a & b) >= similarity * len(a | b) - 1e-9] for a in sets]
+    while True:
+        new = [min(label[j] for j in near[k]) for k in range(len(rows))]
+        if new == label:
+            return sorted(((i, None if c == 2**63 - 1 else c) for (i, _), c in zip(rows, label, strict=True)), key=str)
+        label = new
+
+
+@pytest.mark.parametrize("most", [1024, 5])  # whole groups, and groups cut into blocks
+def test_near_copies_against_brute_force(spark, most):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    vocab = [f"t{k}" for k in range(900)]
+    rows = []
+    for k in range(30):  # copies with one to four words changed, so similarities from 0.6 to 0.97; chains of copies
+        base = [r.choice(vocab) for _ in range(r.choice((60, 100, 300)))]
+        for j in range(6):
+            rows.append((10 * k + j, " ".join(base)))
+            for _ in range(r.randrange(1, 5)):
+                base[r.randrange(len(base))] = r.choice(vocab)
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "One  two"), (None, "a null id alone here"), (5, rows[40][1])]
+    r.shuffle(rows)
+    want = copies_brute(rows)
+    got = sorted((tuple(x) for x in near_copies.near_copies(docs(spark, rows), most=most).collect()), key=str)
+    assert got == want
+    assert near_copies.near_copies(docs(spark, [])).count() == 0
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()}
+    assert kept == {i for i, c in want if i == c}
+    four = {x["doc_id"] for x in simhash.one_of_each(docs(spark, rows)).collect()}
+    assert len(four - kept) > 10  # what four bits let pass
