@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-#: Stands for a null doc_id wherever ids are compared: it comes after all others.
+#: Stands for a null doc_id wherever ids are compared: it comes after all others. A doc_id of this value counts as null there.
 NULL_ID = 2**63 - 1
 
 
@@ -51,7 +52,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/driftlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by written() that nothing reads again; what was made of them must be written by now."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -81,7 +92,7 @@ def arrow_pass(df: DataFrame, rows: Callable[[Iterable[tuple]], Iterable[tuple]]
     Batches of either side stay small, so memory doesn't follow the partition.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
+    from pyspark.sql.types import _parse_datatype_string
 
     parsed = _parse_datatype_string(schema)
     assert isinstance(parsed, StructType)
@@ -153,14 +164,27 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def arrow_filter(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], col: str = "text") -> DataFrame:
-    """The rows of df, whole and with all columns, for whose texts keep() says so."""
-    from pyspark.sql.types import StringType
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__, ... that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name: run sees and gives them by place."""
+    plain = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
+
 
+def arrow_filter(df: DataFrame, keeper: Callable[[], Callable[[list[bytes]], list[bool]]], col: str = "text") -> DataFrame:
+    """The rows of df, whole and with all columns, that keep() says yes to by their texts; keeper() makes one keep() a task."""
     at = df.columns.index(col)
     assert isinstance(df.schema[at].dataType, StringType), f"{col} isn't a string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = keeper()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -168,4 +192,4 @@ def arrow_filter(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], col:
                 yield part.filter(pa.array(keep(texts), pa.bool_()))
         release()
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)

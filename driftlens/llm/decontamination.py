@@ -128,11 +128,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, threshold:
     """The rows of docs, with all their columns, that hold no item."""
     for index in item_blocks(items, words, threshold, block_chars):
 
-        def keep(texts: list[bytes], index=index) -> list[bool]:
+        def keeper(index=index):
             memo: dict[bytes, int] = {}
-            return [not index.value.search(t.lower().split(), memo) for t in texts]
+            return lambda texts: [not index.value.search(t.lower().split(), memo) for t in texts]
 
-        docs = common.arrow_filter(docs, keep)
+        docs = common.arrow_filter(docs, keeper)
     return docs
 
 

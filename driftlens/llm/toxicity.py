@@ -257,11 +257,11 @@ def clean(docs: DataFrame, chain: Chain) -> DataFrame:
     """The rows of docs, with all their columns, that aren't toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(chain)
 
-    def keep(texts: list[bytes]) -> list[bool]:
+    def keeper():
         scorer = Scorer(sent.value)
-        return [scorer(t)[1] < sent.value.threshold for t in texts]
+        return lambda texts: [scorer(t)[1] < sent.value.threshold for t in texts]
 
-    return common.arrow_filter(docs, keep)
+    return common.arrow_filter(docs, keeper)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
