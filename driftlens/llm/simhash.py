@@ -112,22 +112,17 @@ def group_links(fps: np.ndarray, side: np.ndarray, limit: int) -> list[tuple[int
     order = np.argsort(fps, kind="stable")
     fps, side = fps[order], side[order]
     u = fps.view(np.uint64)
-    if side[0] == 2 and len(fps) <= 48:
-        i, j = np.triu_indices(len(fps), 1)
-        near = np.bitwise_count(u[i] ^ u[j]) <= limit
-        pairs = [(i[near], j[near])]
-    else:
-        a = b = np.arange(len(fps))
-        if side[0] != 2 or (side != 2).any():
-            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(a) or not len(b):
-            return []
-        pairs = [(a[x], b[y]) for x, y in GrayIndex(u[b]).search(u[a], limit)]
+    a = b = np.arange(len(fps))
+    if side[0] != 2 or (side != 2).any():
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(a) or not len(b):
+        return []
     label = np.arange(len(fps))
-    for i, j in pairs:  # parts are joined as they come, so pairs don't pile up
-        if len(i):
-            again = roots(len(fps), np.concatenate([i, np.arange(len(fps))]), np.concatenate([j, label]))
-            label = again
+    for x, y in GrayIndex(u[b]).search(u[a], limit):  # parts are joined as they come, so pairs don't pile up
+        i, j = a[x], b[y]
+        apart = i != j
+        if apart.any():
+            label = roots(len(fps), np.concatenate([i[apart], np.arange(len(fps))]), np.concatenate([j[apart], label]))
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return list(zip(fps[label[moved]].tolist(), fps[moved].tolist(), strict=True))
 
@@ -185,11 +180,12 @@ def similar(prints: DataFrame, count: int, bits: int = 4, most: int = 2048) -> D
     """Links (a < b) that join just those distinct fingerprints (column fp) that chains of near ones join.
 
     blocks is chosen by count so that a group of evenly spread fingerprints
-    stays small; the links join the same sets for any choice.
+    has some hundreds of members at most; the links join the same sets for any
+    choice. Each group of two or more is searched by its own Gray index.
     """
     spark = prints.sparkSession
     blocks = bits + 1
-    while blocks < bits + 4 and count > 64 * 2 ** (64 * (blocks - bits) // blocks):
+    while blocks < bits + 4 and count > 512 * 2 ** (64 * (blocks - bits) // blocks):
         blocks += 1
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(bits, blocks))])
     dealt = prints.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
@@ -213,20 +209,27 @@ def closed(links: DataFrame) -> DataFrame:
         new = label.join(seen, "node").select("node", "root", F.least("root", "low").alias("low"))
         up = new.select(F.col("node").alias("low"), F.col("low").alias("upper"))
         new = new.join(up, "low").select("node", F.col("upper").alias("new"), (F.col("upper") != F.col("root")).cast("long").alias("moved"))
-        new = common.written(new, "labels")
+        new, old = common.written(new, "labels"), label
         label = new.select("node", F.col("new").alias("root"))
+        label._folder = new._folder
+        common.discard(old)
         if not new.agg(F.sum("moved")).first()[0]:
             return label
 
 
 def _prints(n: int):
     def rows(given):
-        for doc_id, did, text in given:
-            yield doc_id, did, fingerprint(text, n)
+        for doc_id, did, text_hash, text in given:
+            yield doc_id, did, text_hash, fingerprint(text, n)
 
     return rows
 
 
+def text_hash():
+    """Tells texts of one doc_id apart; null and empty texts are one."""
+    return F.xxhash64(common.utf8())
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, most: int = 2048) -> DataFrame:
     """Returns doc_id, fp (signed) and component_id, a row for each row of docs.
 
@@ -236,34 +239,50 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, most: int =
     last, and a set of nulls only has a null component_id. Rows that repeat stay. Other columns
     are ignored. An empty table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.id_key().alias("did"), common.utf8().alias("text"))
-    prints = common.written(common.arrow_pass(texts, _prints(words), "doc_id long, did long, fp long"), "prints")
+    return grouped(docs, words, bits, most).select("doc_id", "fp", "component_id")
+
+
+def grouped(docs: DataFrame, words: int = 4, bits: int = 4, most: int = 2048) -> DataFrame:
+    """near_duplicates with text_hash and set, a number for each set of linked rows."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.id_key().alias("did"), text_hash().alias("text_hash"), common.utf8().alias("text"))
+    prints = common.written(common.arrow_pass(texts, _prints(words), "doc_id long, did long, text_hash long, fp long"), "prints")
     distinct = common.written(prints.groupBy("fp").agg(F.min("did").alias("least")), "distinct-prints")
     label = closed(similar(distinct.select("fp"), distinct.count(), bits, most)).withColumnRenamed("node", "fp")
     rooted = distinct.join(label, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = common.written(rooted, "rooted")
     least = common.written(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")
-    of = common.written(rooted.join(least, "root").select("fp", "component"), "component-of")
-    return prints.join(of, "fp").select("doc_id", "fp", F.when(F.col("component") != common.NULL_ID, F.col("component")).alias("component_id"))
+    of = common.written(rooted.join(least, "root").select("fp", "root", "component"), "component-of")
+    component = F.when(F.col("component") != common.NULL_ID, F.col("component"))
+    return prints.join(of, "fp").select("doc_id", "text_hash", "fp", component.alias("component_id"), F.col("root").alias("set"))
 
 
 def one_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id leads its set; of rows that repeat an id, one stays.
+    """One row of docs, with all its columns, for each set: one whose doc_id is the set's smallest.
 
-    docs meets only the ids that don't stay as they are, which are few next to those that do.
+    Rows are judged each by its own text, so rows that share an id, or have
+    none, stay if their texts are in different sets. docs meets only the rows
+    that don't stay as they are, which are few next to those that do.
     """
-    return leading(docs, near_duplicates(docs, words, bits))
+    return leading(docs, grouped(docs, words, bits))
 
 
 def leading(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """one_of_each for sets given by found (doc_id, component_id)."""
-    found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_leads"), F.count("*").alias("_n"))
-    other = common.written(found.where("not _leads or _n > 1"), "not-alone")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    kept, again = docs.join(other.select("_id"), same, "left_anti"), other.where("_leads").select("_id")
+    """one_of_each for sets given by found (doc_id, text_hash, component_id, set), a row for each row of docs."""
+    alike = found.groupBy("set", "doc_id", "text_hash", "component_id").agg(F.count("*").alias("n"))
+    alike = common.written(alike, "alike")
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = alike.where(leads).groupBy("set").agg(F.min("text_hash").alias("first"))
+    judged = alike.join(first, "set").select("doc_id", "text_hash", (leads & (F.col("text_hash") == F.col("first"))).alias("stays"), "n")
+    other = common.written(judged.where("not stays or n > 1"), "not-alone")
+    mine = [common.free_name(docs, x) for x in ("_id", "_hash")]
+    ids, hashes = (common.free_name(docs, x) for x in ("_of", "_with"))
+    keyed = docs.withColumn(mine[0], F.col("doc_id").cast("long")).withColumn(mine[1], text_hash())
+    same = F.col(mine[0]).eqNullSafe(F.col(ids)) & (F.col(mine[1]) == F.col(hashes))
+    named = lambda df: df.select("doc_id", "text_hash").toDF(ids, hashes)
+    kept, again = keyed.join(named(other), same, "left_anti").drop(*mine), other.where("stays")
     if again.isEmpty():
         return kept
-    return kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.union(keyed.join(named(again), same, "left_semi").dropDuplicates(mine).drop(*mine))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
