@@ -9,7 +9,9 @@ side; texts are shuffled once, by doc_id, to meet their dropped hashes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,21 +77,33 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
 
 
 def _assemble_rows(min_chars: int, at: int):
-    def rows(given):
-        for *row, text, drops in given:
-            if drops:
-                gone = set(drops)
-                row[at] = b"\n".join([x for x in text.split(b"\n") if line_key(x, min_chars) not in gone]).decode("utf-8")
-            yield tuple(row)
+    """Over batches of rows with their dropped hashes as the last column: the rows, with fewer lines in column at."""
 
-    return rows
+    def shorter(text: bytes, drops: list[bytes]) -> bytes:
+        gone = set(drops)
+        return b"\n".join([x for x in text.split(b"\n") if line_key(x, min_chars) not in gone])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                *columns, drops = b.slice(lo, 256).columns
+                lost = drops.to_pylist()
+                if any(lost):
+                    texts = columns[at].cast(pa.binary()).to_pylist()
+                    made = [t if not d or t is None else shorter(t, d) for t, d in zip(texts, lost, strict=True)]
+                    columns[at] = pa.array(made, pa.binary()).cast(columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+        common.release()
+
+    return run
 
 
 def dedup_rows(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """The rows of docs, with all their columns, and in text only the lines that dedup_lines keeps; a null text stays null."""
-    drops = dropped_lines(docs, min_chars, min_docs).withColumnsRenamed({"did": "_did", "drops": "_drops"})
-    joined = docs.withColumn("_text", common.utf8()).withColumn("_key", common.id_key()).join(drops, F.col("_key") == F.col("_did"), "left")
-    return common.arrow_pass(joined.select(*docs.columns, "_text", "_drops"), _assemble_rows(min_chars, docs.columns.index("text")), docs.schema.simpleString()[7:-1].replace(":", " "), 512)
+    """The rows of docs, with all their columns whatever their names, and in text only the lines that dedup_lines keeps; a null text stays null."""
+    did, key, gone = (common.free_name(docs, x) for x in ("_did", "_key", "_drops"))
+    drops = dropped_lines(docs, min_chars, min_docs).toDF(did, gone)
+    joined = docs.withColumn(key, common.id_key()).join(drops, F.col(key) == F.col(did), "left").drop(key, did)
+    return common.mapped(joined, _assemble_rows(min_chars, docs.columns.index("text")), docs.schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
