@@ -3,10 +3,10 @@
 Only the histogram of piece lengths reaches the driver: at most ``capacity``
 rows. Patterns of up to four lengths that fill a sequence exactly are
 enumerated, their repeat counts fitted to the histogram by non-negative least
-squares, rounded down, and what is left is packed best-fit, longest first, on
+squares, rounded, and what is left is packed best-fit, longest first, on
 the histogram as well. The plan says for each length which ranks go where;
-pieces get their rank within a length by counts of small hash buckets, so a
-length that many pieces share is spread over many tasks.
+pieces get their rank within a length by counts of hash buckets, of which a
+length has as many as its pieces need, so it is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -324,7 +324,21 @@ def _place(places):
     return rows
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
+#: A task ranks about so many pieces of one length at a time.
+BUCKET = 50_000
+
+
+def bucketed(cut: DataFrame, counts: list[tuple[int, int]], bucket: int = BUCKET) -> DataFrame:
+    """cut with _b, a bucket of about bucket pieces of one length; counts holds (length, number of pieces).
+
+    A common length gets as many buckets as it needs, at any number of pieces.
+    """
+    parts = cut.sparkSession.createDataFrame([(length, -(-n // bucket)) for length, n in counts], "length long, _parts long")  # a row a length
+    # rows go by their place, so pieces that agree in all else spread as well
+    return cut.join(F.broadcast(parts), "length").withColumn("_b", F.pmod(F.xxhash64("_row"), F.col("_parts"))).drop("_parts")
+
+
+def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, bucket: int = BUCKET) -> DataFrame:
     """Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, a row for each piece.
 
     A null or empty text is the end id alone. Rows with one doc_id, or with
@@ -339,11 +353,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY,
     cut = common.written(pieces(docs, path, end_id, capacity), "pieces")
     # the file's place tells rows apart that agree in all else, and stays the same when a task runs again
     cut = cut.withColumn("_row", F.struct("doc_id", "piece", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")))
-    cut = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = common.written(cut.groupBy("length", "_b").agg(F.count("*").alias("n")), "lengths")  # at most capacity x buckets rows
+    sizes = [(length, n) for length, n in cut.groupBy("length").count().collect()]  # at most capacity rows
     hist = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.groupBy("length").agg(F.sum("n")).collect():
+    for length, n in sizes:
         hist[length] = n
+    cut = bucketed(cut, sizes, bucket)
+    counts = common.written(cut.groupBy("length", "_b").agg(F.count("*").alias("n")), "lengths")  # a row a bucket
     places = spark.sparkContext.broadcast(segments(plan(hist)))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_s", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "_b", "_s")
