@@ -115,6 +115,19 @@ def members(stream, chunk: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
         yield start, b"".join(parts)
 
 
+class Range:
+    """The bytes of an open file from start to stop, read in order."""
+
+    def __init__(self, file, start: int, stop: int):
+        self.file, self.left = file, stop - start
+        file.seek(start)
+
+    def read(self, size: int) -> bytes:
+        got = self.file.read(min(size, self.left))
+        self.left -= len(got)
+        return got
+
+
 def record_id(page_id: int | None, url: str, digest: str, copy: int) -> str:
     return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{url}\n{digest}\n{copy}"))
 
@@ -251,17 +264,29 @@ def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
 _IDS = ["page_id", "url", "_row"]
 
 
+def _scans_files(df: DataFrame) -> bool:
+    """Whether df is a scan of files with nothing but projections and filters, so that rows have a place that stays."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation") and "_metadata" not in [c.lower() for c in df.columns]
+
+
 def write_archive(pages: DataFrame, least: int = LEAST, block_lines: int = 300, most: int = 1 << 30) -> Archive:
     """Writes pages (page_id, url, html) to archives and indexes them.
 
     Null html is an empty payload, a null url an empty one. Payloads of under
     least bytes are always responses. A row without page_id comes after all
     others. Rows that repeat are captures of their own. Other columns are ignored.
+    Rows are told apart by their place in their file; pages that aren't a plain
+    scan of files are written to the shared folder first.
     """
     spark = pages.sparkSession
     folder = f"{common.shared_dir(spark)}/driftlens/warc-{uuid.uuid4().hex}"
     fs, path = filesystem(folder)
     fs.create_dir(path)
+    if not _scans_files(pages):
+        pages = common.written(pages.select("page_id", "url", "html"), "pages")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), common.utf8("html").alias("html"), F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_row"))
     kinds = classify(rows, least)
     joined = rows.join(kinds, "_row").select("page_id", "url", "html", "digest", F.when(F.col("copy") == 0, 0).otherwise(F.crc32(F.col("_row").cast("binary")) + 1).alias("copy"), "refers_to", "refers_url", "refers_digest")
@@ -276,9 +301,9 @@ def _read_back(folder: str, top):
     def rows(given):
         fs, path = filesystem(folder)
         reader, known = Reader(folder, top.value), OrderedDict()
-        for (name,) in given:
-            with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
-                for _, raw in members(stream):
+        for name, start, stop in given:
+            with fs.open_input_file(f"{path}/{name}") as file:
+                for _, raw in members(Range(file, start, stop)):
                     headers, payload = parse(raw)
                     page = headers["X-Page-Id"]
                     kind, refers = headers["WARC-Type"], None
@@ -301,15 +326,25 @@ def _read_back(folder: str, top):
     return rows
 
 
-def read_back(archive: Archive) -> DataFrame:
+def ranges(captures: DataFrame, range_bytes: int) -> DataFrame:
+    """(file, start, stop): runs of whole records that together are all files, each of about range_bytes at most."""
+    runs = captures.groupBy("file", F.floor(F.col("at") / range_bytes).alias("run"))
+    return runs.agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("stop")).drop("run")
+
+
+def read_back(archive: Archive, range_bytes: int = 4 << 20) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, from the archives alone.
 
-    Files are read in parallel; a revisit's payload comes by an index lookup.
+    Files are read in parallel, by runs of records of about range_bytes, so tasks
+    follow the bytes of the archives; a revisit's payload comes by an index lookup.
     """
     spark = archive.captures.sparkSession
     top = spark.sparkContext.broadcast(archive.top)
-    files = archive.captures.select("file").distinct().repartition(common.shuffle_width(spark), "file")
-    return common.arrow_pass(files, _read_back(archive.folder, top), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", 512)
+    found = common.written(ranges(archive.captures, range_bytes), "ranges")
+    count = found.count()
+    # dealt one by one to a given number of tasks: adaptive execution doesn't join those again, small as the list is
+    dealt = found.repartition(max(1, min(count, max(2 * common.shuffle_width(spark), -(-count // 16)))))
+    return common.arrow_pass(dealt, _read_back(archive.folder, top), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", 512)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
