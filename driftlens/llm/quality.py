@@ -141,6 +141,6 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
             or 100 * n_dup_lines > 30 * len(lines)
             or 100 * (length(text) - length(translate(text, '!', ''))) > 30 * n_words
             or 100 * (word_chars - length(regexp_replace(text, '[\p{Lu}\s]+', '', 'g'))) > 50 * word_chars
-            or (n_words >= 20 and len(list_filter(range(0, greatest(n_words - 20, 0) + 1, 7), lambda i: len(list_distinct(words[i + 1:i + 20])) = 1)) > 0)) as kept
+            or (n_words >= 20 and len(list_filter(range(0, greatest(n_words - 20, 0) + 1), lambda i: words[i + 1] = words[i + 20] and len(list_distinct(words[i + 1:i + 20])) = 1)) > 0)) as kept
 from failed
 """
