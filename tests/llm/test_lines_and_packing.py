@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from driftlens.llm import line_dedup, packing
 
@@ -84,6 +85,23 @@ def test_packing_is_whole_and_gapless(spark, path):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+def test_a_common_length_takes_many_buckets(spark):
+    cut = spark.range(200_000).select((F.col("id") % 3).alias("doc_id"), F.when(F.col("id") < 150_000, 2048).otherwise(7).cast("long").alias("length")).withColumn("_row", F.struct("doc_id", F.monotonically_increasing_id().alias("m")))
+    sizes = packing.bucketed(cut, [(2048, 150_000), (7, 50_000)], 10_000).groupBy("length", "_b").count().collect()
+    assert max(r["count"] for r in sizes) < 11_000 and len(sizes) == 20
+    assert sum(r["count"] for r in sizes) == 200_000
+
+
+def test_many_buckets_stay_gapless(spark, path):
+    rows = [(None if k % 5 == 0 else k % 7, "same words in many rows") for k in range(400)]
+    got = packing.pack(docs(spark, rows), path, capacity=20, bucket=9).collect()
+    assert len(got) == 400
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))] and sum(n for _, n in v) <= 20 for v in by.values())
+
+
 def test_tokenizer_memory_gives_the_same_ids(path):
     kept = packing.CachedTokenizer(path, limit=3)
     for text in ("", "  ", "it's we'll don't 'S x's!", "İstanbul ſ Ǆ é é ǅ Ωσς", "<|endoftext|> a<|startoftext|>b", "a\x1cb\x85c d 12ab3", "x" * 900 + " " + "é" * 100 + "!" * 90, "THE!! the%%% The,### a'b"):

@@ -79,6 +79,23 @@ def test_archives_round_trip(pages):
     assert all((x["record_type"] == "revisit") == (x["refers_to"] is not None) for x in got)
 
 
+def test_small_archives_are_read_by_many_tasks(pages):
+    rows, table = pages
+    archive = warc.write_archive(table.repartition(43), most=2_000)  # not a plain scan of files either
+    files = archive.captures.select("file").distinct().count()
+    got = warc.read_back(archive)
+    assert files > 43 and got.rdd.getNumPartitions() > 4 and got.count() == len(rows)
+    small = warc.read_back(archive, range_bytes=500)
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+
+
+def test_archives_of_any_table(spark):
+    rows = [(k, f"http://a.b/{k}", "<p>" + "x" * (100 * (k % 2)), "clash") for k in range(9)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, _metadata string")
+    got = {x["page_id"]: x["refers_to"] for x in warc.read_back(warc.write_archive(table)).collect()}
+    assert got == {k: 1 if k % 2 and k > 1 else None for k in range(9)}
+
+
 def test_lookups_by_the_index(pages):
     rows, table = pages
     archive = warc.write_archive(table, block_lines=20)

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from driftlens.llm import decontamination, near_copies, simhash
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from driftlens.llm import decontamination, line_dedup, near_copies, simhash
 
 from .helpers import docs, words
 
@@ -111,6 +113,46 @@ def test_one_of_each(spark):
     assert sorted((x["doc_id"] for x in kept.collect()), key=str) == [2, 9, None]
     assert kept.columns == docs(spark, []).columns
     assert simhash.one_of_each(docs(spark, [])).count() == 0
+    # rows are judged by their own texts: different ones stay, whether they share an id or have none
+    rows = [(7, "one text of seven, quite long"), (7, "another text under the same id"), (None, "null id with a text"), (None, "and one more without id"), (8, "one text of seven, quite long"), (7, "one text of seven, quite long"), (None, "null id with a text"), (None, "another text under the same id")]
+    for found in (simhash.one_of_each(docs(spark, rows)), simhash.leading(docs(spark, rows), near_copies.grouped(docs(spark, rows)))):
+        assert sorted(((x["doc_id"], x["text"]) for x in found.collect()), key=str) == sorted([rows[k] for k in range(4)], key=str)
+
+
+def test_small_groups_are_searched_by_the_index(monkeypatch):
+    sizes = []
+    real = simhash.GrayIndex
+    monkeypatch.setattr(simhash, "GrayIndex", lambda fps: sizes.append(len(fps)) or real(fps))
+    fps = np.array([5, 7, 1 << 40, 15], np.int64)
+    assert simhash.group_links(fps, np.full(4, 2), 4) == [(5, 7), (5, 15), (5, 1 << 40)] and sizes == [4]
+    assert simhash.group_links(fps[[0, 2]], np.full(2, 2), 2) == [] and sizes == [4, 2]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "_text", "_key", "_did", "_drops", "_id", "_hash", "_of", "_with", "key", "set", "a b", "x.y", "keys"]
+    rows = [(k, f"text of {k} only\na line that all have", *[f"{n}{k}" for n in names[2:]]) for k in range(6)] + [(9, "text of 0 only\na line that all have", *[f"{n}9" for n in names[2:]]), (10, None, *[None] * 13)]
+    schema = StructType([StructField("doc_id", LongType()), *[StructField(n, StringType()) for n in names[1:]]])
+    table = spark.createDataFrame(rows, schema).repartition(3)
+    shorter = {r[0]: r for r in line_dedup.dedup_rows(table).collect()}
+    assert {i: tuple(r)[2:] for i, r in shorter.items()} == {r[0]: r[2:] for r in rows}
+    assert [shorter[k]["text"] for k in (0, 1, 9, 10)] == [rows[0][1], "text of 1 only", "", None]
+    ones = simhash.one_of_each(table)
+    assert ones.columns == names and sorted(map(tuple, ones.collect()), key=str) == sorted([r for r in rows if r[0] != 9], key=str)
+    items = spark.createDataFrame([(0, "text of 3 only a"), (1, "quite another item of the benchmark")], "item_id long, text string")
+    for block in (10**6, 20):
+        clean = decontamination.decontaminate(table, items, block_chars=block)
+        assert clean.columns == names and sorted(map(tuple, clean.collect()), key=str) == sorted([r for r in rows if r[0] != 3], key=str)
+
+
+def test_index_holds_under_four_bytes_a_character():
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    items = [(k, " ".join(r.choice(vocab) for _ in range(r.choice((8, 40, 120)))).encode()) for k in range(3000)]
+    index = decontamination.Index(items, 5, 0.8)
+    assert index.bytes_held < 4 * sum(len(t) for _, t in items)
+    for k in (0, 5, 2999):
+        words_ = b"before it " + items[k][1] + b" after it"
+        assert [i for i, *_ in index.search(words_.split(), {})] == [k]
 
 
 def test_block_choices_cover_four_differences():
@@ -122,17 +164,22 @@ def test_block_choices_cover_four_differences():
             assert any(not diff & m for m in masks)
 
 
-def copies_brute(rows, n=5, similarity=0.8):
+def copy_labels(rows, n=5, similarity=0.8):
+    """For each row the smallest (id, place) of its set; a null id counts as 2**63 - 1."""
     sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (words(t or "") for _, t in rows)]
-    label = [2**63 - 1 if i is None else i for i, _ in rows]
+    label = [(2**63 - 1 if i is None else i, k) for k, (i, _) in enumerate(rows)]
     near = [[j for j, b in enumerate(sets) if len(a & b) >= similarity * len(a | b) - 1e-9] for a in sets]
     while True:
         new = [min(label[j] for j in near[k]) for k in range(len(rows))]
         if new == label:
-            return sorted(((i, None if c == 2**63 - 1 else c) for (i, _), c in zip(rows, label, strict=True)), key=str)
+            return label
         label = new
 
 
+def copies_brute(rows, n=5, similarity=0.8):
+    return sorted(((i, None if c == 2**63 - 1 else c) for (i, _), (c, _) in zip(rows, copy_labels(rows, n, similarity), strict=True)), key=str)
+
+
 @pytest.mark.parametrize("most", [1024, 5])  # whole groups, and groups cut into blocks
 def test_near_copies_against_brute_force(spark, most):
     import corpus_pipeline
