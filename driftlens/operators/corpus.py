@@ -119,10 +119,11 @@ def candidates(popcon: DataFrame, depends: DataFrame, origins: DataFrame, packag
 
     origins has binary, source (a binary's newest source); packages has source
     and name. A source is usable if it has debug symbols of the binary and a dev
-    package. A binary without a Depends line counts as C; one without an origin goes.
+    package. A binary without a Depends line counts as C. One without an origin
+    has no source and is never usable, but takes up its place in the scan.
     """
     named = popcon.where(scalars.is_candidate("name")).join(depends, "name", "left").withColumn("language", scalars.language_of_depends("depends"))
-    placed = named.withColumnRenamed("name", "binary").join(origins.select("binary", "source"), "binary")
+    placed = named.withColumnRenamed("name", "binary").join(origins.select("binary", "source"), "binary", "left")
     symbols = packages.where(F.col("name").endswith("-dbgsym")).select("source", F.regexp_replace("name", "-dbgsym$", "").alias("binary")).distinct().withColumn("_symbols", F.lit(True))
     dev = packages.where(F.col("name").endswith("-dev")).select("source").distinct().withColumn("_dev", F.lit(True))
     out = placed.join(symbols, ["source", "binary"], "left").join(dev, "source", "left")

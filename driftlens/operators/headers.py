@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import scalars
@@ -19,8 +19,11 @@ def compare_definitions(old: DataFrame, new: DataFrame, keys: list[str], example
     has_old, has_new = F.col("old").isNotNull(), F.col("new").isNotNull()
     common = has_old & has_new
     body, decl = common & (F.col("old.body_fp") != F.col("new.body_fp")), common & (F.col("old.decl_fp") != F.col("new.decl_fp"))
-    name = F.concat_ws("::", "old.path", "old.name")
-    return both.groupBy(*keys).agg(
+    name = F.concat_ws("::", "old.path", "old.name").alias("name")
+    # the first few names by rank, so no list grows with a key's changes
+    first = both.where(body).select(*keys, name).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("name"))).where(F.col("_n") <= examples)
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list("name")).alias("examples"))
+    counters = both.groupBy(*keys).agg(
         F.count_if(has_old).alias("definitions_1"),
         F.count_if(has_new).alias("definitions_2"),
         F.count_if(common).alias("definitions_common"),
@@ -29,8 +32,8 @@ def compare_definitions(old: DataFrame, new: DataFrame, keys: list[str], example
         F.count_if(body).alias("inline_body_changed"),
         F.count_if(body & F.col("old.kind").contains("Template")).alias("inline_body_changed_template"),
         F.count_if(decl).alias("inline_decl_changed"),
-        F.slice(F.array_sort(F.collect_list(F.when(body, name))), 1, examples).alias("examples"),
     )
+    return counters.join(first, keys, "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
 def compare_macros(old: DataFrame, new: DataFrame, keys: list[str], strict_reference: bool = False) -> DataFrame:

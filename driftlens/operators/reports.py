@@ -208,7 +208,7 @@ def declared(entries_: DataFrame, names: DataFrame, least: int = 5) -> DataFrame
 # The approximate header scan
 
 _COMMENT = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|//[^\n]*|/\*.*?\*/', re.S)
-_HEAD = re.compile(r"([A-Za-z_][\w:~]*)\s*\(")
+_HEAD = re.compile(r"(?<![\w:])([A-Za-z_][\w:~]*+)\s*+\(")
 _MACRO = re.compile(r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)(?!\()[ \t]+(\S[^\n]*)$", re.M)
 _NOT_NAMES = frozenset("if for while switch catch return sizeof defined alignas alignof decltype noexcept static_assert".split())
 
@@ -218,30 +218,32 @@ def scan_header(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]
     text = _COMMENT.sub(lambda m: m[0] if m[0][0] in "\"'" else " ", text.replace("\\\n", " "))
     macros = [(n, " ".join(v.split())) for n, v in _MACRO.findall(text) if not n.startswith("_") and not n.endswith("_H")]
     code, bodies, at = re.sub(r"(?m)^[ \t]*#.*$", "", text), [], 0
+    closing = _closings(code)
     while m := _HEAD.search(code, at):
-        close = _closing(code, m.end() - 1, "(", ")")
+        close = closing.get(m.end() - 1, -1)
         at = m.end()
         if close < 0 or m[1] in _NOT_NAMES:
             continue
         rest = re.compile(r"\s*(?:const|noexcept|override|final|&&?|->\s*[\w:<>*& ]+|:\s*\w+\s*\([^{};]*\)(?:\s*,\s*\w+\s*\([^{};]*\))*|\s)*\{").match(code, close + 1)
         if rest:
-            end = _closing(code, rest.end() - 1, "{", "}")
+            end = closing.get(rest.end() - 1, -1)
             if end > 0:
                 bodies.append((f"{m[1]}({' '.join(code[m.end() : close].split())})", " ".join(code[rest.end() : end].split())))
                 at = end
     return bodies, macros
 
 
-def _closing(text: str, at: int, left: str, right: str) -> int:
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] == left:
-            depth += 1
-        elif text[i] == right:
-            depth -= 1
-            if not depth:
-                return i
-    return -1
+def _closings(text: str) -> dict[int, int]:
+    """Where each parenthesis and brace that is closed closes, each kind by itself, in one pass."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {")": [], "}": []}
+    for m in re.finditer(r"[(){}]", text):
+        c = m[0]
+        if c in "({":
+            open_[")" if c == "(" else "}"].append(m.start())
+        elif open_[c]:
+            out[open_[c].pop()] = m.start()
+    return out
 
 
 def approximate_index(headers: DataFrame) -> DataFrame:

@@ -56,9 +56,19 @@ def elements(spark: SparkSession, d: str) -> DataFrame:
 def compared(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
     """id, k, old, new: the elements of both sides of all transitions."""
     pairs = transitions(spark, d) if pairs is None else pairs
-    of = elements(spark, d)
-    side = lambda key: pairs.select("id", F.col(key).alias("key")).join(of, "key")
-    return changes.outer(side("old_key"), side("new_key"), ["id", "k"], ["v", "f", "s"])
+    return changes.compared(both_sides(spark, d, pairs), ["id", "k"], ["v", "f", "s"])
+
+
+def both_sides(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    """id, side (1 or 2), k, v, f, s: the facts meet each transition's two releases in one join."""
+    ends = F.array(F.struct(F.lit(1).alias("side"), F.col("old_key").alias("key")), F.struct(F.lit(2).alias("side"), F.col("new_key").alias("key")))
+    return pairs.select("id", F.explode(ends).alias("e")).select("id", "e.side", "e.key").join(elements(spark, d), "key").drop("key")
+
+
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """id, k, v, f, s of the old and of the new releases of all transitions."""
+    facts = both_sides(spark, d, transitions(spark, d))
+    return facts.where("side = 1").drop("side"), facts.where("side = 2").drop("side")
 
 
 def element_changes(spark: SparkSession, d: str, inline: bool = False) -> DataFrame:
@@ -279,30 +289,34 @@ def q19_fingerprint_lines(spark, d):
 
 
 def _header_sides(spark, d):
-    """Consecutive documents of a source as two sides of an index: the first words of a line name it, the rest is its body."""
+    """Consecutive documents of a source as two sides of an index: whole lines, each named by its first two words and which of
+    the lines that share them it is; its first sentence declares it, the whole is its body."""
     docs = table(spark, d, "documents")
     pairs = corpus.consecutive_pairs(docs, ["source"], [F.col("doc_id")], ["doc_id", "text"])
     pairs = pairs.select(F.concat_ws("@", "source", F.col("new.doc_id").cast("string")).alias("id"), F.col("old.text").alias("old"), F.col("new.text").alias("new"))
 
     def side(c):
-        lines = pairs.select("id", F.explode(F.array_distinct(F.split(c, "\n"))).alias("line")).where("line <> ''")
-        words = lines.select("id", "line", F.substring_index("line", " ", 2).alias("usr"))
-        one = words.groupBy("id", "usr").agg(F.min("line").alias("line"))
-        return one.select("id", "usr", F.lit("doc").alias("path"), F.col("usr").alias("name"), F.when(F.length("line") > 200, "FunctionTemplate").otherwise("Function").alias("kind"), scalars.fingerprint(F.substr("line", F.lit(1), F.lit(40))).alias("decl_fp"), scalars.fingerprint("line").alias("body_fp"))
+        lines = pairs.select("id", F.posexplode(F.split(c, "\n")).alias("at", "line")).where("line <> ''")
+        words = lines.withColumn("two", F.substring_index("line", " ", 2))
+        nth = F.row_number().over(Window.partitionBy("id", "two").orderBy("at"))
+        one = words.select("id", F.concat_ws("#", "two", nth.cast("string")).alias("usr"), "line")
+        return one.select("id", "usr", F.lit("doc").alias("path"), F.col("usr").alias("name"), F.when(F.length("line") > 200, "FunctionTemplate").otherwise("Function").alias("kind"), scalars.fingerprint(F.substring_index("line", ". ", 1)).alias("decl_fp"), scalars.fingerprint("line").alias("body_fp"))
 
     return side("old"), side("new")
 
 
 _HEADER_SQL = """
 p as (select source || '@' || doc_id as id, lag(text) over (partition by source order by doc_id) as old, text as new from documents qualify old is not null),
-l as (select id, 1 as side, unnest(string_split(old, chr(10))) as line from p union all select id, 2, unnest(string_split(new, chr(10))) from p),
-u as (select id, side, array_to_string(string_split(line, ' ')[1:2], ' ') as usr, min(line) as line from l where line <> '' group by all),
+l as (select id, 1 as side, unnest(string_split(old, chr(10))) as line, generate_subscripts(string_split(old, chr(10)), 1) as pos from p
+      union all select id, 2, unnest(string_split(new, chr(10))), generate_subscripts(string_split(new, chr(10)), 1) from p),
+n as (select id, side, line, pos, array_to_string(string_split(line, ' ')[1:2], ' ') as two from l where line <> ''),
+u as (select id, side, line, two || '#' || row_number() over (partition by id, side, two order by pos) as usr from n),
 b as (select coalesce(x.id, y.id) as id, coalesce(x.usr, y.usr) as usr, x.line as a, y.line as z
       from (from u where side = 1) x full join (from u where side = 2) y on x.id = y.id and x.usr = y.usr),
 h as (select id, count(a) as definitions_1, count(z) as definitions_2, count(*) filter (a is not null and z is not null) as definitions_common,
              count(*) filter (a is null) as definitions_added, count(*) filter (z is null) as definitions_removed,
              count(*) filter (a <> z) as inline_body_changed, count(*) filter (a <> z and length(a) > 200) as inline_body_changed_template,
-             count(*) filter (substr(a, 1, 40) <> substr(z, 1, 40)) as inline_decl_changed,
+             count(*) filter (string_split(a, '. ')[1] <> string_split(z, '. ')[1]) as inline_decl_changed,
              array_to_string(list_sort(coalesce(list('doc::' || usr) filter (a <> z), []))[1:8], '|') as examples
       from b group by id)"""
 

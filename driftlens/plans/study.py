@@ -23,21 +23,27 @@ class Corpus:
     header_pairs: DataFrame
 
 
-def from_artifacts(spark: SparkSession, pairs_path: str, headers_path: str | None = None) -> Corpus:
-    """Transitions without an error and with an object; header data where it exists."""
+def from_artifacts(spark: SparkSession, pairs_path: str, headers_path: str | None = None, strict_reference: bool = False) -> Corpus:
+    """Transitions without an error and with an object; header data where it exists.
+
+    Changed macros count without version stamps; with strict_reference all of them do.
+    """
+    macros = "macro_value_changed" if strict_reference else "macro_value_changed_nonversion"
     pairs = artifacts.read_artifacts(spark, pairs_path, "pair").where("error is null and size(objects) > 0")
     objects = pairs.select("id", "source", F.explode("objects").alias("o"))
     if headers_path is None:
         header_pairs = spark.createDataFrame([], f"id string, diff {artifacts.HEADER_DIFF}, coverage array<{artifacts.COVERAGE}>")
     else:
         header_pairs = artifacts.read_artifacts(spark, headers_path, "header-pair").where("error is null and diff is not null").select("id", "diff", "coverage")
-    header_pairs = header_pairs.dropDuplicates(["id"])
+    # artefacts of other tools may lack the figure without version stamps; it is the whole count then
+    other = F.coalesce("diff.macro_value_changed_nonversion", "diff.macro_value_changed")
+    header_pairs = header_pairs.dropDuplicates(["id"]).withColumn("diff", F.col("diff").withField("macro_value_changed_nonversion", other))
     poor = F.exists(F.coalesce("coverage", F.array().cast(f"array<{artifacts.COVERAGE}>")), lambda c: headers.poor_coverage(F.coalesce(c["parsed"], F.lit(0)), F.coalesce(c["with_fatal"], F.lit(0)), F.coalesce(c["with_errors"], F.lit(0))))
     header_pairs = header_pairs.withColumn("poor", poor)
     sides = objects.select("id", "source", "o.language", F.get("o.soname", 0).alias("soname_1"), F.get("o.soname", 1).alias("soname_2"), F.get("o.coverage.debug_info_found", 0).alias("debug_1"), F.get("o.coverage.debug_info_found", 1).alias("debug_2"), "o.mass_rename")
     transitions = prevalence.rollup(sides, ["id", "source"])
     long = lambda name: taxonomy.checked(prevalence.long_counts(objects.select("id", F.col(f"o.{name}").alias("m")), ["id"], "m"))
-    inline = header_pairs.select("id", F.explode(F.array(F.struct(F.lit("inline_body_changed").alias("kind"), F.col("diff.inline_body_changed").cast("bigint").alias("n")), F.struct(F.lit("macro_value_changed").alias("kind"), F.col("diff.macro_value_changed").cast("bigint").alias("n")))).alias("c")).select("id", "c.*").where("n > 0")
+    inline = header_pairs.select("id", F.explode(F.array(F.struct(F.lit("inline_body_changed").alias("kind"), F.col("diff.inline_body_changed").cast("bigint").alias("n")), F.struct(F.lit("macro_value_changed").alias("kind"), F.col(f"diff.{macros}").cast("bigint").alias("n")))).alias("c")).select("id", "c.*").where("n > 0")
     inline = inline.join(transitions.select("id"), "id", "left_semi")
     return Corpus(transitions, long("public").unionByName(inline), long("third_party"), long("private_node"), header_pairs)
 

@@ -7,6 +7,7 @@ import gzip
 import io
 import lzma
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +58,19 @@ def read_compressed_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string")
 
 
+def _stream(raw: bytes):
+    """A stream that tarfile reads; it knows gz, bz2 and xz itself."""
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw))
+    return io.BytesIO(raw)
+
+
+#: What an archive that is cut short or odd raises.
+_BAD = (ValueError, OSError, EOFError, tarfile.TarError, lzma.LZMAError, zlib.error, UnicodeDecodeError)
+
+
 def deb_members(raw: bytes) -> Iterator[tuple[str, bytes]]:
     """(path, content) of the regular files of a package; unsafe paths and devices are left out."""
     if raw[:8] != b"!<arch>\n":
@@ -67,23 +81,35 @@ def deb_members(raw: bytes) -> Iterator[tuple[str, bytes]]:
         body = raw[at + 60 : at + 60 + size]
         at += 60 + size + size % 2
         if name.startswith("data.tar"):
-            with tarfile.open(fileobj=io.BytesIO(unpacked(body))) as tar:
+            # read as a stream: only one file of the package is unpacked at a time
+            with tarfile.open(fileobj=_stream(body), mode="r|*") as tar:
                 for m in tar:
                     path = m.name.removeprefix("./")
                     if m.isfile() and path and not path.startswith("/") and ".." not in path.split("/"):
                         yield path, tar.extractfile(m).read()
 
 
-def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """package, path, content of all files in .deb packages below path; nothing is written to disk."""
+def read_packages(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """package, path, content of all files in .deb packages below path; nothing is written to disk.
+
+    A package that can't be read, or not to its end, doesn't fail the others:
+    what comes before the fault counts, and with errors=True a row with its
+    reason in the further column error and without path stands for the rest.
+    """
+    columns = ["package", "path", "content", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], names=columns)
         for b in batches:
             for package, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for name, content in deb_members(raw):
-                    yield pa.RecordBatch.from_arrays([pa.array([package]), pa.array([name]), pa.array([content], pa.binary())], names=["package", "path", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "package string, path string, content binary")
+                try:
+                    for name, content in deb_members(raw):
+                        yield one(package, name, content, None)
+                except _BAD as e:
+                    yield one(package, None, None, f"{type(e).__name__}: {e}")
+
+    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "package string, path string, content binary, error string")
+    return out if errors else out.where("error is null").drop("error")
 
 
 def shared_objects(files: DataFrame) -> DataFrame:

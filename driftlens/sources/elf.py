@@ -63,15 +63,39 @@ def read(raw: bytes) -> tuple[str | None, list[tuple[str, str | None, bool]]]:
     return soname, out
 
 
+def _parsed(raw: bytes):
+    """read(), or the reason why it can't: a file that is cut short or odd concerns itself only."""
+    try:
+        return read(raw), None
+    except (struct.error, ValueError, IndexError, KeyError, ZeroDivisionError) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """package, path, error of the ELF files that exported_symbols() has to leave out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for package, path, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                error = _parsed(raw)[1] if raw and raw[:4] == b"\x7fELF" else None
+                if error:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (package, path, error)], names=["package", "path", "error"])
+
+    return files.select("package", "path", "content").mapInArrow(run, "package string, path string, error string")
+
+
 def exported_symbols(files: DataFrame) -> DataFrame:
-    """package, path, soname, linkage, version, is_function from package, path, content; other files than ELF give no rows."""
+    """package, path, soname, linkage, version, is_function from package, path, content.
+
+    Other files than ELF give no rows, nor do those that unreadable() reports.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for package, path, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not raw or raw[:4] != b"\x7fELF":
                     continue
-                soname, found = read(raw)
+                soname, found = _parsed(raw)[0] or (None, [])
                 if found:
                     n = len(found)
                     names, versions, functions = zip(*found, strict=True)

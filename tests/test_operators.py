@@ -163,6 +163,35 @@ def test_lexical_scan():
     assert [b[0] for b in bodies] == ["twice(int v)", "clampv(T x)"]
 
 
+def test_lexical_scan_takes_linear_time():
+    import time
+
+    for text in ("f(" * 60_000, "f() {" * 40_000, "a" * 200_000, "a:" * 80_000, "(" * 100_000 + "{" * 100_000):
+        began = time.process_time()
+        reports.scan_header(text)
+        assert time.process_time() - began < 3
+
+
+def test_binaries_without_an_origin_take_up_scan_places(spark):
+    r = random.Random(5)
+    frame = spark.createDataFrame
+    popcon = [(k, f"libn{k}", 100 - k) for k in range(60)]
+    origins = {f"libn{k}": f"s{r.randrange(12)}" for k in range(60) if r.random() < 0.6}
+    symbols, devs = {k for k in range(60) if r.random() < 0.7}, {f"s{k}" for k in range(12) if r.random() < 0.8}
+    packages = [(origins[f"libn{k}"], f"libn{k}-dbgsym") for k in symbols if f"libn{k}" in origins] + [(s, f"{s}-dev") for s in devs]
+    found = corpus.candidates(frame(popcon, "rank int, name string, installs bigint"), frame([("libn3", "libstdc++6"), ("libn9", "libstdc++6")], "name string, depends string"), frame(sorted(origins.items()), "binary string, source string"), frame(packages, "source string, name string"))
+    taken, seen, left = [], set(), {"c": 5, "cxx": 2}
+    for k in range(30):  # places go by, with an origin or without
+        source, language = origins.get(f"libn{k}"), "cxx" if k in (3, 9) else "c"
+        if source is None or not left[language] or source in seen:
+            continue
+        seen.add(source)
+        if k in symbols and source in devs:
+            left[language] -= 1
+            taken.append(f"libn{k}")
+    assert sorted(x["binary"] for x in corpus.quota_topk(found, {"c": 5, "cxx": 2}, 30).collect()) == sorted(taken)
+
+
 @pytest.mark.parametrize("arm", ["control"])
 def test_control_pairs(spark, arm):
     df = spark.createDataFrame([("s", "1.0", k) for k in (1, 2, 3)] + [("s", "2.0", 4)], "source string, upstream string, rev int")
@@ -207,7 +236,7 @@ def test_candidates_builds_patterns_and_eviction(spark):
     origins = frame([("liba1", "a"), ("libb2", "b"), ("libc-dev", "c")], "binary string, source string")
     packages = frame([("a", "liba1-dbgsym"), ("a", "liba-dev"), ("b", "libb2-dbgsym")], "source string, name string")
     got = {r["binary"]: (r["language"], r["usable"]) for r in corpus.candidates(popcon, depends, origins, packages).collect()}
-    assert got == {"liba1": ("cxx", True), "libb2": ("c", False)}
+    assert got == {"liba1": ("cxx", True), "libb2": ("c", False), "libd1": ("c", False)}
     builds = frame([("n", "1.9-1", "h1"), ("n", "1.10-1", "h2"), ("n", "bad:1", "h3")], "name string, version string, hash string")
     assert [(r["version"], r["hash"]) for r in corpus.newest_builds(builds, ["name"]).collect()] == [("1.10-1", "h2")]
     named = frame([("s", "r", "libz1"), ("s", "r", "libz-dev"), ("s", "r", "other")], "source string, release string, name string")

@@ -55,6 +55,18 @@ def test_study_figures(spark, folder):
     assert rendering.filled("{{a}} {{b}}", {"a": "<"}) == "&lt; {{b}}" and rendering.percent(1, 0) == "n/a"
 
 
+def test_version_stamps_do_not_count_as_macro_changes(spark, folder):
+    diff = {"definitions_common": 3, "inline_body_changed": 0, "macro_value_changed": 5, "examples": []}
+    for k, (ident, more) in enumerate((("a@1..2", {"macro_value_changed_nonversion": 0}), ("a@2..3", {"macro_value_changed_nonversion": 2}), ("b@1..2", {}))):
+        (folder / f"headers/{k}.json").write_text(json.dumps(wrapped("header-pair", {"id": ident, "source": "x", "coverage": [], "diff": diff | more}, "2")))
+    of = lambda c: {r["id"]: r["n"] for r in c.public.where("kind = 'macro_value_changed'").collect()}
+    c = study.from_artifacts(spark, f"{folder}/pairs", f"{folder}/headers")
+    assert of(c) == {"a@2..3": 2, "b@1..2": 5}  # without the field the whole counts
+    h = study.analyse(c).churn.first()
+    assert (h["macro_changed"], h["macro_events"], h["macro_changed_nonversion"]) == (3, 15, 2)
+    assert of(study.from_artifacts(spark, f"{folder}/pairs", f"{folder}/headers", strict_reference=True)) == {"a@1..2": 5, "a@2..3": 5, "b@1..2": 5}
+
+
 def test_artifact_round_trip(spark, tmp_path):
     df = spark.createDataFrame([([(1, 2, "libz1", "zlib", "c")],)], "libraries array<struct<rank: int, installs: bigint, binary: string, source: string, language_hint: string>>")
     artifacts.write_artifact(df, f"{tmp_path}/s", "selection")
@@ -102,6 +114,17 @@ def test_packages_are_unpacked_safely(spark, tmp_path):
         list(archive.deb_members(b"junk"))
 
 
+def test_a_bad_package_does_not_fail_the_others(spark, tmp_path):
+    good = deb([(f"./usr/lib/lib{k}.so", bytes([k]) * 5000) for k in range(9)])
+    for name, raw in (("good", good), ("cut", good[:-150]), ("junk", b"junk")):
+        (tmp_path / f"{name}.deb").write_bytes(raw)
+    got = archive.read_packages(spark, f"{tmp_path}/*.deb", errors=True).collect()
+    name = lambda r: r["package"].rsplit("/", 1)[-1].removesuffix(".deb")
+    assert {name(r) for r in got if r["error"]} == {"cut", "junk"}
+    assert sum(name(r) == "good" for r in got) == 9
+    assert {name(r) for r in archive.read_packages(spark, f"{tmp_path}/*.deb").collect()} <= {"good", "cut"}
+
+
 def test_compressed_text_and_preferences(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t/a.gz").write_bytes(gzip.compress(b"one"))
@@ -141,3 +164,7 @@ def test_elf_symbols(spark):
     assert any(r["version"] == "GLIBC_PRIVATE" for r in got.values())
     with pytest.raises(ValueError, match="not an ELF"):
         elf.read(b"junk")
+    raw = found[0].read_bytes()
+    odd = spark.createDataFrame([("p", "good", raw), ("p", "cut", raw[:5000]), ("p", "head", raw[:20]), ("p", "text", b"int x;")], "package string, path string, content binary")
+    assert {r["path"] for r in elf.exported_symbols(odd).select("path").distinct().collect()} == {"good"}
+    assert {r["path"] for r in elf.unreadable(odd).collect()} == {"cut", "head"}
