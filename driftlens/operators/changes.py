@@ -121,46 +121,58 @@ def symbols(old: DataFrame, new: DataFrame, keys: list[str], mass_min: int = 50)
     but for digits is renamed. The rest is plain. A symbol on both sides has
     changed if its result or parameters differ without const and volatile.
     """
-    old, new = (df.where(~scalars.is_compiler_symbol("linkage")) for df in (old, new))
-    removed, added = only(old, new, keys), only(new, old, keys)
-    is_fn = F.col("is_function")
-    pairs = signature_pairs(removed.where(is_fn), added.where(is_fn), keys)
-    signatures = pairs.select(*keys, F.lit("function_signature_changed").alias("kind"), F.col("r.linkage").alias("linkage"), F.concat_ws("  ->  ", "r.pretty", "a.pretty").alias("pretty"), F.col("r.version").alias("version"))
-    left_r = only(removed, pairs.select(*keys, F.col("r.linkage").alias("linkage")), keys)
-    left_a = only(added, pairs.select(*keys, F.col("a.linkage").alias("linkage")), keys)
-    renames = matched(left_r, left_a, keys, [scalars.digits_blind("linkage")], ["linkage"])
-    plain_r = only(left_r, renames.select(*keys, F.col("r.linkage").alias("linkage")), keys)
-    plain_a = only(left_a, renames.select(*keys, F.col("a.linkage").alias("linkage")), keys)
-    plain = [df.select(*keys, F.lit(k).alias("kind"), "linkage", "pretty", "version") for df, k in ((plain_r, "symbol_removed"), (plain_a, "symbol_added"))]
-    both = outer(old, new, [*keys, "linkage"], ["return_type", "params", "pretty", "version", "is_function"]).where("old is not null and new is not null and old.is_function and new.is_function")
-    changed = both.where(signature_differs(F.col("old.return_type"), F.col("new.return_type"), F.col("old.params"), F.col("new.params")))
-    changed = changed.select(*keys, F.lit("function_signature_changed").alias("kind"), "linkage", F.concat_ws("  ->  ", "old.pretty", "new.pretty").alias("pretty"), F.col("old.version").alias("version"))
-    events = signatures.unionByName(plain[0]).unionByName(plain[1]).unionByName(changed).withColumn("private", scalars.is_private_node("version"))
-    tallies = renames.groupBy(*keys).agg(F.count("*").alias("renamed")).join(plain[0].unionByName(plain[1]).groupBy(*keys).agg(F.count("*").alias("plain")), keys, "full_outer")
-    tallies = tallies.select(*keys, F.coalesce("renamed", F.lit(0)).alias("renamed"), F.coalesce("plain", F.lit(0)).alias("plain"))
+    found = resolved_symbols(old, new, keys)
+    kind = F.when(F.col("step").isin("paired", "changed"), "function_signature_changed").when(F.col("step") == "plain", F.when(F.col("side") == 1, "symbol_removed").otherwise("symbol_added"))
+    events = found.withColumn("kind", kind).where("kind is not null").select(*keys, "kind", "linkage", "pretty", "version", scalars.is_private_node("version").alias("private"))
+    tallies = found.where("step in ('renamed', 'plain')").groupBy(*keys).agg(F.count_if(F.col("step") == "renamed").alias("renamed"), F.count_if(F.col("step") == "plain").alias("plain"))
     return events, tallies.withColumn("mass_rename", (F.col("renamed") >= mass_min) & (F.col("renamed") >= F.col("plain")))
 
 
-def signature_pairs(removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
-    """Removed and added functions of one name paired one to one, in order of linkage, never with equal text.
+def resolved_symbols(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, linkage, pretty, version, side (1 removed, 2 added, 0 both) and step: how each symbol that differs is accounted for.
 
-    Each removed one takes the first added one left whose text differs. Where no
-    text is on both sides that is a join by rank; names where one is, which are
-    rare and hold a few overloads, are gone through one by one.
+    paired and renamed are said of the removed symbol of a pair only. Facts meet
+    in one join; what differs is ranked twice, once by name and once by linkage
+    without digits, each within one partitioning.
     """
-    at = [*keys, "pairing"]
-    same = removed.select(*at, "pretty").intersect(added.select(*at, "pretty")).select(*at).distinct()
-    plain = matched(removed.join(same, at, "left_anti"), added.join(same, at, "left_anti"), keys, [F.col("pairing")], ["linkage"])
-    rows = lambda df: df.join(same, at, "left_semi").groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("linkage", *[c for c in df.columns if c != "linkage"]))).alias("s"))
-    both = rows(removed).withColumnRenamed("s", "rs").join(rows(added).withColumnRenamed("s", "as_"), at)
-    # the fold keeps the places taken so far; a place that isn't found is -1
+    old, new = (df.where(~scalars.is_compiler_symbol("linkage")) for df in (old, new))
+    both = outer(old, new, [*keys, "linkage"], ["pairing", "pretty", "version", "is_function", "return_type", "params"])
+    side = F.when(F.col("new").isNull(), 1).when(F.col("old").isNull(), 2).otherwise(0)
+    changed = F.col("old.is_function") & F.col("new.is_function") & signature_differs(F.col("old.return_type"), F.col("new.return_type"), F.col("old.params"), F.col("new.params"))
+    one = lambda c: F.coalesce(f"old.{c}", f"new.{c}").alias(c)
+    differ = both.withColumn("side", side).where((F.col("side") > 0) | changed)
+    differ = differ.select(*keys, "linkage", "side", one("pairing"), F.when(F.col("side") > 0, one("pretty")).otherwise(F.concat_ws("  ->  ", "old.pretty", "new.pretty")).alias("pretty"), one("version"), one("is_function"))
+
+    # rows that can't have a partner are groups of their own, so none of them gathers
+    named = F.when((F.col("side") > 0) & F.col("is_function"), F.concat(F.lit("f"), "pairing"))
+    ranked = differ.withColumn("name", F.coalesce(named, F.concat(F.lit("x"), F.col("side").cast("string"), "linkage"))).repartition(*keys, "name")
+    within = lambda *more: Window.partitionBy(*keys, "name", *more)
+    ranked = ranked.withColumn("n", F.row_number().over(within("side").orderBy("linkage")))
+    shared_text = F.min("side").over(within("pretty")) != F.max("side").over(within("pretty"))
+    ranked = ranked.withColumn("shared", shared_text).withColumn("same", F.max("shared").over(within()))
+    ranked = ranked.withColumn("mate", F.max(F.when(F.col("side") == 2, F.col("pretty"))).over(within("n"))).withColumn("mates", F.count("*").over(within("n")))
+    # where a text is on both sides, which is rare, the few overloads of the name are gone through one by one
+    text = lambda k: F.array_sort(F.collect_list(F.when(F.col("same") & (F.col("side") == k), F.struct("linkage", "pretty"))).over(within()))
+    ranked = ranked.withColumn("rs", text(1)).withColumn("as_", text(2))
+    ranked = ranked.withColumn("taken", F.max(F.when(F.col("same") & (F.col("n") == 1) & (F.col("side") == 1), _greedy())).over(within()))
+    mine = F.get("taken", F.col("n") - 1)
+    paired = F.when(F.col("same"), F.when(F.col("side") == 1, mine >= 0).otherwise(F.array_contains("taken", F.col("n") - 1))).otherwise(F.col("mates") == 2)
+    ranked = ranked.withColumn("paired", F.col("name").startswith("f") & paired).withColumn("mate", F.when(F.col("same"), F.get("as_", mine)["pretty"]).otherwise(F.col("mate")))
+
+    left = (F.col("side") > 0) & ~F.col("paired")
+    blind = F.coalesce(F.when(left, F.concat(F.lit("b"), scalars.digits_blind("linkage"))), F.concat(F.lit("x"), F.col("side").cast("string"), "linkage"))
+    again = ranked.select(*keys, "linkage", "side", "pretty", "version", "paired", "mate", blind.alias("blind")).repartition(*keys, "blind")
+    again = again.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "blind", "side").orderBy("linkage"))).withColumn("renamed", F.count("*").over(Window.partitionBy(*keys, "blind", "n")) == 2)
+    first = F.col("side") == 1
+    step = F.when(F.col("side") == 0, "changed").when(F.col("paired"), F.when(first, "paired")).when(F.col("renamed"), F.when(first, "renamed")).otherwise("plain")
+    pretty = F.when(step == "paired", F.concat_ws("  ->  ", "pretty", "mate")).otherwise(F.col("pretty"))
+    return again.withColumn("step", step).select(*keys, "linkage", pretty.alias("pretty"), "version", "side", "step").where("step is not null")
+
+
+def _greedy() -> Column:
+    """For each of rs the place of the first of as_ that is left and has another text, -1 for none."""
     first = lambda taken, r: F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size("as_") - 1), lambda k: ~F.array_contains(taken, k) & (F.get("as_", k)["pretty"] != r["pretty"])), 0), F.lit(-1))
-    taken = F.aggregate("rs", F.array().cast("array<int>"), lambda acc, r: F.array_append(acc, first(acc, r)))
-    chosen = both.withColumn("_t", taken).select(*at, "as_", F.posexplode(F.arrays_zip("rs", "_t")).alias("_k", "z")).where("z._t >= 0")
-    order = removed.columns
-    back = lambda c, name: F.struct(*[F.col(f"{c}.{x}").alias(x) for x in order]).alias(name)
-    greedy = chosen.withColumn("_a", F.get("as_", F.col("z._t"))).withColumn("_r", F.col("z.rs")).select(*keys, back("_r", "r"), back("_a", "a"))
-    return plain.unionByName(greedy)
+    return F.aggregate("rs", F.array().cast("array<int>"), lambda acc, r: F.array_append(acc, first(acc, r)))
 
 
 def signature_differs(result_1: Column, result_2: Column, params_1: Column, params_2: Column) -> Column:

@@ -44,9 +44,11 @@ def is_of(stage: str) -> Column:
 
 
 def _enveloped(spark: SparkSession, path: str, stage: str) -> DataFrame:
+    """Files hold one artefact in any layout, or many, each beginning a line."""
     schema = f"schema string, tool string, generated_at string, data {PAYLOADS[stage]}, _corrupt_record string"
-    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-    return read.json(path).withColumn("file_name", F.col("_metadata.file_name"))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"), F.col("_metadata.file_name").alias("file_name"))
+    read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("a")
+    return whole.where(F.trim("value") != "").select(read, "file_name").select("a.*", "file_name")
 
 
 def write_artifact(df: DataFrame, path: str, stage: str, tool: str = "driftlens") -> None:

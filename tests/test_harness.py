@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from driftlens.plans import harness
+from driftlens.plans import domain, harness  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

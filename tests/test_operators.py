@@ -199,25 +199,42 @@ def test_control_pairs(spark, arm):
     assert [(r["upstream"], r["new"]["rev"], r["old"]["rev"]) for r in got] == [("1.0", 3, 2)]
 
 
-def greedy(removed, added):
-    used, out = set(), []
-    for link, pretty in sorted(removed):
-        for k, (a, text) in enumerate(sorted(added)):
-            if k not in used and text != pretty:
-                used.add(k)
-                out.append((link, a))
-                break
-    return sorted(out)
-
-
-def test_overloads_are_paired_greedily(spark):
-    r = random.Random(11)
-    for _ in range(6):
-        make = lambda side: [("k", f"{side}{n}_{i}", f"text{r.randrange(4)}", f"name{n}", None, True, "int", []) for n in range(4) for i in range(r.randrange(4))]
-        removed, added = make("r"), make("a")
-        got = sorted((x["r"]["linkage"], x["a"]["linkage"]) for x in changes.signature_pairs(spark.createDataFrame(removed, SYMBOLS), spark.createDataFrame(added, SYMBOLS), ["k"]).collect())
-        want = [p for n in range(4) for p in greedy([(x[1], x[2]) for x in removed if x[3] == f"name{n}"], [(x[1], x[2]) for x in added if x[3] == f"name{n}"])]
-        assert got == sorted(want)
+def symbols_loop(old, new, mass_min):
+    """The four steps as loops over one pair of objects."""
+    olds, news = ({x[1]: x for x in side if not re.match("_ZT[VIST]", x[1])} for side in (old, new))
+    removed, added = ([x for k, x in sorted(a.items()) if k not in b] for a, b in ((olds, news), (news, olds)))
+    events, plain = [], []
+    for r in [x for x in removed if x[5]]:
+        mate = next((x for x in added if x[5] and x[3] == r[3] and x[2] != r[2]), None)
+        if mate:
+            removed.remove(r), added.remove(mate)
+            events.append(("function_signature_changed", r[1], f"{r[2]}  ->  {mate[2]}"))
+    renamed = 0
+    for r in list(removed):
+        mate = next((x for x in added if re.sub("[0-9]+", "#", x[1]) == re.sub("[0-9]+", "#", r[1])), None)
+        if mate:
+            removed.remove(r), added.remove(mate)
+            renamed += 1
+    plain = [("symbol_removed", x[1], x[2]) for x in removed] + [("symbol_added", x[1], x[2]) for x in added]
+    bare = lambda p: re.sub(" +", " ", re.sub(r"\b(const|volatile)\b", "", p)).strip()
+    for k in olds.keys() & news.keys():
+        a, b = olds[k], news[k]
+        if a[5] and b[5] and (a[6] != b[6] or [*map(bare, a[7])] != [*map(bare, b[7])]):
+            events.append(("function_signature_changed", k, f"{a[2]}  ->  {b[2]}"))
+    return sorted(events + plain), (renamed, len(plain), renamed >= mass_min and renamed >= len(plain))
+
+
+def test_symbol_steps_are_those_of_the_loops(spark):
+    r = random.Random(21)
+    for _ in range(5):
+        def make(side):
+            names = {f"{r.choice('abc')}{r.randrange(4)}_{r.randrange(30)}" for _ in range(40)}
+            return [symbol(n, name=f"fn{r.randrange(6)}", pretty=f"text{r.randrange(5)}", result=r.choice(("int", "long")), params=[r.choice(("const int", "int", "char"))], function=r.random() < 0.8) for n in sorted(names)] + [symbol(f"_ZTV{side}")]  # noqa: B023
+        old, new = make(1), make(2)
+        events, tallies = changes.symbols(spark.createDataFrame(old, SYMBOLS), spark.createDataFrame(new, SYMBOLS), ["k"], mass_min=3)
+        want, (renamed, plain, mass) = symbols_loop(old, new, 3)
+        assert sorted((e["kind"], e["linkage"], e["pretty"]) for e in events.collect()) == want
+        assert [tuple(t) for t in tallies.collect()] == [("p", renamed, plain, mass)]
 
 
 def test_scoped_counts_and_summary(spark):
