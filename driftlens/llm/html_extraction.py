@@ -13,6 +13,7 @@ The trees are trained in numpy on generated pages, whose roles are known.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -89,7 +90,7 @@ class Page:
     def _parse(self, html: str) -> None:
         at, size = 0, len(html)
         tag, texts, find = self.tag, self.texts, _MARKUP.search
-        open_, counts = [0], {"#": 1}  # elements that are open, and how many of each kind
+        open_, places = [0], {"#": [0]}  # elements that are open, and where in open_ those of each kind are
         texts.append((0, ""))
 
         def text(raw: str) -> None:
@@ -98,20 +99,14 @@ class Page:
 
         def close(until: int) -> None:
             while len(open_) > until:
-                counts[tag[open_.pop()]] -= 1
+                places[tag[open_.pop()]].pop()
 
         def imply(names: tuple, stops: tuple) -> None:
             """Closes the outermost open element of names above the nearest one of stops."""
-            if not any(counts.get(x) for x in names):
-                return
-            target = 0
-            for k in range(len(open_) - 1, 0, -1):
-                if tag[open_[k]] in stops:
-                    break
-                if tag[open_[k]] in names:
-                    target = k
-            if target:
-                close(target)
+            floor = max((places[x][-1] for x in stops if places.get(x)), default=0)
+            found = [of[k] for x in names if (of := places.get(x)) and (k := bisect.bisect_right(of, floor)) < len(of)]
+            if found:
+                close(min(found))
 
         while at < size:
             m = find(html, at)
@@ -129,10 +124,8 @@ class Page:
                 continue
             name = name.lower()
             if mark == "/":
-                if counts.get(name):
-                    k = len(open_) - 1
-                    while tag[open_[k]] != name:
-                        k -= 1
+                if places.get(name):
+                    k = places[name][-1]
                     node = open_[k]
                     close(k)
                     texts.append((node, None))
@@ -151,8 +144,8 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
                 at = size if end is None else html.find(">", end.end()) + 1 or size
                 continue
+            places.setdefault(name, []).append(len(open_))
             open_.append(node)
-            counts[name] = counts.get(name, 0) + 1
 
 
 def features(page: Page) -> np.ndarray:
@@ -292,7 +285,7 @@ _BELOW = {PATH: (PATH, CONTENT, OUT), CONTENT: (CONTENT, OUT), OUT: (OUT,)}
 
 
 def decode(page: Page, logs: np.ndarray) -> list[int]:
-    """The likeliest roles of all elements under the rules of _BELOW; the root is PATH."""
+    """The likeliest roles of all elements under the rules of _BELOW; the root is PATH, or CONTENT where text stands by itself."""
     n, tags, parent = len(page.tag), page.tag, page.parent
     score = np.maximum(logs, -12.0).tolist()
     for i in range(n):
@@ -303,7 +296,7 @@ def decode(page: Page, logs: np.ndarray) -> list[int]:
         s[PATH] += max(p, c, o)
         s[CONTENT] += max(c, o)
         s[OUT] += o
-    role = [PATH] * n
+    role = [PATH if score[0][PATH] >= score[0][CONTENT] else CONTENT] * n
     for i in range(1, n):
         s = score[i]
         role[i] = max(_BELOW[role[parent[i]]], key=lambda r: s[r])
@@ -333,12 +326,19 @@ def text_of(page: Page, role: list[int]) -> str:
 
 
 def generated(n: int, seed: int = 11) -> list[tuple[str, dict[str, int]]]:
-    """Pages whose elements carry their role in an attribute, of many layouts."""
+    """Pages whose elements carry their role in an attribute, of many layouts.
+
+    The first role, in a comment, is the root's. Layouts are semantic elements,
+    boxes with telling names or with none, tables, and text that stands in the
+    body or in nothing at all.
+    """
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ou", "es", "ti", "la", "que")) for _ in range(r.randint(1, 4)))
     words = lambda lo, hi: " ".join(word() for _ in range(r.randint(lo, hi)))
     sentence = lambda: words(3, 18).capitalize() + r.choice((".", ".", ".", "!", "?"))
+    text = lambda lo, hi: " ".join(sentence() for _ in range(r.randint(lo, hi)))
     attr = lambda cls: r.choice((f' class="{cls}"', f' id="{cls}"', f' class="{word()} {cls}"', f' class="{cls} {word()}"', f' role="{cls}"'))
+    plain = lambda: r.choice(("", "", f' class="{word()}"', f' id="{word()}"', ' class="wrapper"', ' class="container row"'))
 
     def el(tag, role, inner, attributes=""):
         return f'<{tag} y="{role}"{attributes}>{inner}</{tag}>'
@@ -348,73 +348,119 @@ def generated(n: int, seed: int = 11) -> list[tuple[str, dict[str, int]]]:
 
     def links(role, lo=2, hi=9):
         one = lambda: el("a", role, words(1, 3), ' href="/x"')
-        form = r.choice(("ul", "ul", "div", "span"))
+        form = r.choice(("ul", "ul", "div", "span", "bare"))
         if form == "ul":
             return el("ul", role, "".join(el("li", role, one()) for _ in range(r.randint(lo, hi))))
+        if form == "bare":
+            return r.choice((" | ", " ", " &middot; ")).join(one() for _ in range(r.randint(lo, hi)))
         return "".join(el(form, role, one()) + " " for _ in range(r.randint(lo, hi)))
 
-    def paragraph(role=CONTENT):
-        inner = " ".join(sentence() for _ in range(r.choice((1, 1, 2, 4, 9))))
+    def paragraph(role=CONTENT, tag="p"):
+        inner = text(*r.choice(((1, 1), (1, 1), (2, 2), (4, 4), (9, 9)))) if r.random() < 0.85 else words(1, 2).capitalize() + r.choice((".", ".", "!", ""))
         if r.random() < 0.3:
-            inner = f"{sentence()} {el(r.choice(('b', 'i', 'em', 'a', 'strong', 'span')), role, words(1, 9))} {inner}"
-        if r.random() < 0.12:
+            inner = f"{sentence()} {el(r.choice(('b', 'i', 'em', 'a', 'strong', 'span', 'code')), role, words(1, 9))} {inner}"
+        if tag == "p" and r.random() < 0.12:
             return f'<p y="{role}"><b y="{role}">{inner}<br y="{role}">'
-        return el("p", role, inner)
+        return el(tag, role, inner, plain() if tag != "p" or r.random() < 0.1 else "")
+
+    def form():
+        return el("form", OUT, r.choice(("", el("label", OUT, words(1, 3)))) + f'<input y="{OUT}">' + el("button", OUT, words(1, 1)), r.choice(("", cue("form"))))
 
     def junk():
-        k = r.randrange(9)
+        k = r.randrange(10)
         if k == 0:
-            return el(r.choice(("nav", "div", "nav")), OUT, links(OUT), r.choice(("", cue("menu"))))
+            return el(r.choice(("nav", "div", "nav", "p")), OUT, links(OUT), r.choice(("", cue("menu"))))
         if k == 1:
             return el("div", OUT, r.choice((sentence(), sentence() + links(OUT, 1, 3), el("p", OUT, sentence()))), cue("advert"))
         if k == 2:
             return el(r.choice(("aside", "div")), OUT, el("h3", OUT, words(1, 4)) + r.choice((links(OUT), el("p", OUT, sentence()))), cue("side"))
         if k == 3:
-            return el("div", OUT, el("p", OUT, sentence()) + el("button", OUT, words(1, 2)), cue("notice"))
+            return el("div", OUT, el("p", OUT, sentence()) + el("button", OUT, words(1, 2)), r.choice((cue("notice"), cue("notice"), plain())))
         if k == 4:
-            return el("form", OUT, el("label", OUT, words(1, 3)) + f'<input y="{OUT}">' + el("button", OUT, words(1, 1)), r.choice(("", cue("form"))))
+            return form()
         if k == 5:
-            many = "".join(el(r.choice(("div", "li")), OUT, el("b", OUT, word()) + el("p", OUT, " ".join(sentence() for _ in range(r.randint(1, 3)))), r.choice(("", cue("comment")))) for _ in range(r.randint(1, 6)))
+            many = "".join(el(r.choice(("div", "li")), OUT, el("b", OUT, word()) + el("p", OUT, text(1, 3)), r.choice(("", cue("comment")))) for _ in range(r.randint(1, 6)))
             return el(r.choice(("section", "div", "ol")), OUT, el("h3", OUT, words(1, 2)) + many, cue("comment"))
         if k == 6:
-            return el("div", OUT, links(OUT, 2, 5), cue("social"))
+            return el("div", OUT, links(OUT, 2, 5), r.choice((cue("social"), plain())))
         if k == 7:
             return el("header", OUT, r.choice((el("h1", OUT, words(1, 3)), el("div", OUT, words(1, 4)))) + r.choice(("", links(OUT))), r.choice(("", cue("edge"))))
+        if k == 8:
+            return box()
         return el(r.choice(("footer", "footer", "div")), OUT, f"&copy; {words(1, 3)} &middot; {sentence()}" + r.choice(("", links(OUT))), cue("edge") if r.random() < 0.5 else ' class="footer"')
 
-    def content():
-        parts = [el("h1", CONTENT, words(2, 9))] if r.random() < 0.85 else []
+    def box():
+        """What asks the reader to sign up or to go elsewhere, inside an article too."""
+        ask = r.choice((el("p", OUT, sentence()), el("h3", OUT, words(1, 4)), sentence(), el("h4", OUT, words(1, 3)) + el("p", OUT, sentence())))
+        return el(r.choice(("div", "div", "aside", "section")), OUT, ask + r.choice((form(), form(), f'<input y="{OUT}">' + el("button", OUT, word()), links(OUT, 2, 5))), r.choice((cue("form", "social", "side"), cue("form"), plain())))
+
+    def content(tag="p", headed=True):
+        parts = [el(r.choice(("h1", "h1", "h2")), CONTENT, words(2, 9))] if headed and r.random() < 0.85 else []
+        if parts and r.random() < 0.35:  # an article's own header
+            under = r.choice(("", el("p", CONTENT, sentence()), el(r.choice(("div", "p", "span")), OUT, words(2, 5), cue("social"))))
+            parts = [el("header", CONTENT, parts[0] + under, plain())]
         for _ in range(r.choice((0, 1, 2, 4, 8, 16))):
             k = r.random()
             if k < 0.72:
-                parts.append(paragraph())
+                parts.append(paragraph(tag=tag))
             elif k < 0.8:
                 parts.append(el(r.choice(("h2", "h3")), CONTENT, words(1, 6)))
             elif k < 0.86:
                 parts.append(el(r.choice(("ul", "ol")), CONTENT, "".join(el("li", CONTENT, sentence()) for _ in range(r.randint(2, 5)))))
-            elif k < 0.9:
+            elif k < 0.89:
                 parts.append(el("blockquote", CONTENT, r.choice((sentence(), el("p", CONTENT, sentence())))))
-            elif k < 0.93:
+            elif k < 0.92:
                 parts.append(el("table", CONTENT, "".join(el("tr", CONTENT, "".join(el("td", CONTENT, words(1, 4)) for _ in range(3))) for _ in range(r.randint(2, 4)))))
-            elif k < 0.95:
+            elif k < 0.94:
                 parts.append(el("pre", CONTENT, words(4, 20)))
+            elif k < 0.97:
+                parts.append(junk() if r.random() < 0.6 else box())
             else:
-                parts.append(junk() if r.random() < 0.7 else el("figure", CONTENT, el("figcaption", CONTENT, sentence())))
-        return "".join(parts) or paragraph()
+                parts.append(el("figure", CONTENT, el("figcaption", CONTENT, sentence())))
+        return "".join(parts) or paragraph(tag=tag)
+
+    def bare():
+        """Text of an article without elements of its own."""
+        return f' <br y="{CONTENT}">'.join(text(1, 6) if r.random() < 0.8 else f"{sentence()} {el(r.choice(('b', 'i', 'a')), CONTENT, words(1, 4))} {sentence()}" for _ in range(r.choice((1, 2, 3, 6))))
+
+    def menu(tag="div"):
+        return el(tag, OUT, links(OUT, 3, 9), plain())
+
+    def around(inner, most=2):
+        """inner in frames, with other things beside it."""
+        for _ in range(r.randint(0, most)):
+            inner = el(r.choice(("div", "div", "main", "section")), PATH, "".join(junk() for _ in range(r.choice((0, 0, 1)))) + inner + "".join(junk() for _ in range(r.choice((0, 0, 1)))), plain())
+        return inner
 
     out = []
     for _ in range(n):
-        tag = r.choice(("article", "article", "article", "main", "div", "section"))
-        hint = cue("good") if tag in ("div", "section") or r.random() < 0.3 else ""
-        inner = el(tag, CONTENT, content(), hint)
-        for _ in range(r.choice((0, 0, 1, 2))):
-            inner = el(r.choice(("div", "main", "section")), PATH, "".join(junk() for _ in range(r.choice((0, 0, 1)))) + inner + "".join(junk() for _ in range(r.choice((0, 0, 1)))), r.choice(("", attr("wrapper"), attr("container"))))
-        above = [el(r.choice(("nav", "nav", "div")), OUT, links(OUT), r.choice(("", ' class="menu"')))] if r.random() < 0.6 else []
-        above += [junk() for _ in range(r.choice((0, 1, 2)))]
-        below = [junk() for _ in range(r.choice((0, 1, 2, 3)))]
-        if r.random() < 0.6:
-            below.append(el("footer", OUT, f"&copy; {words(1, 2)} &middot; {sentence()}"))
-        out.append(f'<!DOCTYPE html><html y="{PATH}"><head y="{OUT}"><title>{words(2, 6)}</title></head><body y="{PATH}">{"".join(above)}{inner}{"".join(below)}</body></html>')
+        layout, root, body = r.random(), PATH, PATH
+        if layout < 0.55:
+            tag = r.choice(("article", "article", "article", "main", "div", "section"))
+            hint = cue("good") if tag in ("div", "section") or r.random() < 0.3 else ""
+            inner = around(el(tag, CONTENT, content(), hint))
+            above = [el(r.choice(("nav", "nav", "div")), OUT, links(OUT), r.choice(("", ' class="menu"')))] if r.random() < 0.6 else []
+            above += [junk() for _ in range(r.choice((0, 1, 2)))]
+            below = [junk() for _ in range(r.choice((0, 1, 2, 3)))]
+            if r.random() < 0.6:
+                below.append(el("footer", OUT, f"&copy; {words(1, 2)} &middot; {sentence()}"))
+            inner = "".join([*above, inner, *below])
+        elif layout < 0.72:  # boxes that say nothing of themselves
+            inner = around(el("div", CONTENT, content(r.choice(("p", "p", "div"))), plain()), 1)
+            inner = r.choice(("", menu())) + inner + "".join(menu() for _ in range(r.choice((0, 1, 2)))) + r.choice(("", el("div", OUT, f"&copy; {words(1, 3)}", plain())))
+        elif layout < 0.8:  # a table as a page
+            cells = el("td", OUT, links(OUT, 3, 9), plain()), el("td", CONTENT, content(), plain())
+            inner = r.choice(("", menu())) + el("table", PATH, el("tr", PATH, "".join(cells if r.random() < 0.7 else cells[::-1]), plain()), plain())
+        elif layout < 0.9:  # paragraphs, or bare text, among the body's other elements
+            body = CONTENT
+            inner = r.choice(("", menu(), menu("nav"))) + r.choice((content(), bare(), content(headed=False))) + r.choice(("", menu(), junk()))
+        else:  # no document around it
+            root, body = CONTENT, None
+            inner = r.choice((bare(), bare(), content(), paragraph() + bare()))
+        if body is not None:
+            inner = f'<!DOCTYPE html><html y="{body}"><head y="{OUT}"><title>{words(2, 6)}</title></head><body y="{body}">{inner}</body></html>'
+            root = body
+        out.append(f'<!-- y="{root}"-->{inner}')
     return out
 
 
@@ -422,7 +468,7 @@ _ROLE = re.compile(r' y="(\d)"')
 
 
 @functools.cache
-def trained(pages: int = 400) -> Boosted:
+def trained(pages: int = 1200) -> Boosted:
     """The trees, from generated pages."""
     xs, ys = [], []
     for marked in generated(pages):
@@ -430,7 +476,7 @@ def trained(pages: int = 400) -> Boosted:
         xs.append(features(page))
         roles = [int(m[1]) for m in _ROLE.finditer(marked)]
         it = iter(roles)
-        ys.append([PATH if t == "#" else OUT if t == "title" else next(it) for t in page.tag])
+        ys.append([OUT if t == "title" else next(it) for t in page.tag])
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys))
 
 
