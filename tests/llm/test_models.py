@@ -28,24 +28,68 @@ def test_lm_counts_and_scores(spark):
     assert lm.score_texts(docs(spark, [])).count() == 0
 
 
+def test_lm_scores_are_those_of_the_model(spark):
+    """Score by plain loops over the model's arrays, for held-out and for training texts, and well above the counts alone."""
+    r = random.Random(9)
+    vocab = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{'aeiou'[k % 5]}" for k in range(600)]
+    follow = {w: r.sample(vocab, 4) for w in vocab}
+
+    def text():
+        out = [r.choice(vocab)]
+        while len(out) < 80:
+            out.append(r.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    rows = [(k, text()) for k in range(1500)] + [(2000, None), (2001, "never seen words " + "x" * 100 + " here"), (2002, "x" * 100)]
+    learned = lm.learn(docs(spark, rows, 2), most_words=700, least_own=20, most_own=400)
+    v, m, of = learned.vocab, learned.model, learned.model.members
+    assert len(of.unit) == lm.UNITS + 400
+    counts = {bytes(x["word"]): x["c"] for x in learned.counts.collect()}
+    got = {x["doc_id"]: x for x in lm.scored(learned).collect()}
+    softmax = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    for i in [3, 4, 5, 6, 7, 8, 9, 2000, 2001, 2002]:
+        words = [w.encode() for w in (dict(rows)[i] or "").split()] + [b""]
+        known = [v.index.get(w, -1) for w in words]
+        codes = [int(v.codes[k]) if k >= 0 else lm.bucket(w) for k, w in zip(known, words, strict=True)]
+        total = 0.0
+        for at, (c, w) in enumerate(zip(codes, words, strict=True)):
+            context = [codes[at - k - 1] if at > k else len(of.unit) for k in range(lm.CONTEXT)]
+            q = sum(m.into[x].astype(float) * m.place[k] for k, x in enumerate(context))
+            u = int(of.unit[c])
+            total += softmax(m.out.astype(float) @ q + m.bias)[u] / math.log(10)
+            if lm.WORDS <= u < lm.UNITS - 1:
+                first, last = of.begin[u], of.end[u]
+                total += softmax(m.own[first:last].astype(float) @ q + m.own_bias[first:last])[of.member[c] - first] / math.log(10)
+                if c < lm.UNITS:  # the rest of a bucket, by counts
+                    total += math.log10(counts.get(w, 0) + 1) - v.inside[u]
+        assert abs(total - got[i]["score"]) < 1e-3 * len(words), i
+    held = [x for x in got.values() if x["held_out"] and x["doc_id"] < 1500]
+    gain = sum(x["score"] - x["base_score"] for x in held) / sum(x["n_tokens"] for x in held)
+    assert gain > 0.3, gain  # log10 a token
+
+
 def test_lm_learns_and_is_normalised():
     r = np.random.default_rng(1)
     units = np.concatenate([np.where(r.random(1) < 0.5, 0, 60) + r.integers(0, 50, 40) for _ in range(600)])
+    units = np.where(r.random(len(units)) < 0.2, lm.UNITS + r.integers(0, 30, len(units)), units)
+    own = np.repeat([200, 201, 202], 10)
+    members = lm.Members.of(own, np.full(30, 9.0), np.full(lm.UNITS, 4.0))
     starts = np.arange(0, len(units), 40)
-    context = lm.contexts(units, starts)
-    assert (context[starts] == lm.UNITS).all() and (context[1, 0], context[1, 1]) == (units[0], lm.UNITS)
-    unigram = np.bincount(units, minlength=lm.UNITS) + 1.0
+    context = lm.contexts(units, starts, len(members.unit))
+    assert (context[starts] == lm.UNITS + 30).all() and (context[1, 0], context[1, 1]) == (units[0], lm.UNITS + 30)
+    unigram = np.bincount(members.unit[units], minlength=lm.UNITS) + 1.0
     unigram /= unigram.sum()
-    model = lm.Model.fresh(unigram)
+    model = lm.Model.fresh(unigram, members)
     trainer = lm.Trainer(model, unigram, 5)
+    start = model.log_probabilities(context, units).mean()
     for _ in range(6):
         for lo in range(0, len(units), 512):
             trainer.step(context[lo : lo + 512], units[lo : lo + 512])
-    again = lm.Model.unpacked(model.packed())
-    logs = again.log_probabilities(context, units)
-    assert logs.mean() > np.log(unigram[units]).mean() + 0.3
-    one = np.repeat(context[50:51], lm.UNITS, 0)
-    assert abs(np.exp(again.log_probabilities(one, np.arange(lm.UNITS))).sum() - 1) < 1e-3
+    again = lm.Model.unpacked(model.packed(), members)
+    assert again.log_probabilities(context, units).mean() > start + 0.2
+    codes = np.arange(len(members.unit))
+    one = np.repeat(context[50:51], len(codes), 0)
+    assert abs(np.exp(again.log_probabilities(one, codes)).sum() - 1) < 1e-3
 
 
 def test_toxicity_chain_on_held_out_rows(spark, tmp_path):
