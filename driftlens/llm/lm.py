@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 END = b""
-WORDS, BUCKETS, DIM, CONTEXT = 127, 128, 32, 3
+WORDS, BUCKETS, DIM, CONTEXT = 127, 64, 32, 3
 UNITS = WORDS + BUCKETS + 1
 LONGEST = 64
 
@@ -167,7 +167,7 @@ class Model:
 class Trainer:
     """Noise-contrastive estimation with AdaGrad; a batch shares its noise classes, members have noise of their own bucket."""
 
-    def __init__(self, model: Model, unigram: np.ndarray, seed: int, noise: int = 48, own_noise: int = 1, rate: float = 0.08):
+    def __init__(self, model: Model, unigram: np.ndarray, seed: int, noise: int = 32, own_noise: int = 1, rate: float = 0.08):
         self.m, self.rate, self.noise, self.own_noise = model, np.float32(rate), noise, own_noise
         self.r, self.cut = np.random.default_rng(seed), np.cumsum(unigram)
         self.log_noise = np.log(unigram).astype(np.float32)
@@ -204,7 +204,7 @@ class Trainer:
             self._update(4, rows, np.concatenate([h_own[:, None] * p, (h_other[:, :, None] * p[:, None, :]).reshape(-1, DIM)]), n)
             self._update(5, rows, np.concatenate([h_own, h_other.ravel()]), n)
 
-        g_place = np.stack([(g_q * m.into[context[:, k]]).sum(0) for k in range(CONTEXT)])
+        g_place = np.stack([np.einsum("ij,ij->j", g_q, m.into[context[:, k]]) for k in range(CONTEXT)])
         self._update(2, context.T.ravel(), np.concatenate([g_q * m.place[k] for k in range(CONTEXT)]), n)
         self._update(3, np.arange(CONTEXT), g_place, n)
 
@@ -273,7 +273,7 @@ def count_words(texts: DataFrame, limit: int = 400_000) -> DataFrame:
     return common.written(made.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
 
-def vocabulary(counts: DataFrame, most_words: int, least_own: int = 50, most_own: int = 8192) -> Vocabulary:
+def vocabulary(counts: DataFrame, most_words: int, least_own: int = 50, most_own: int = 2048) -> Vocabulary:
     spark = counts.sparkSession
     tokens, distinct, end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
     short = counts.where(F.length("word").between(1, LONGEST))
@@ -413,7 +413,7 @@ def _score(vocab: Broadcast, flat: Broadcast):
     def rows(given):
         members = vocab.value.members
         m = Model.unpacked(flat.value, members)
-        for held, codes, starts in _blocks(given, 65_536):
+        for held, codes, starts in _blocks(given, 131_072):
             sums = np.add.reduceat(m.log_probabilities(contexts(codes, starts, len(members.unit)), codes) / np.log(10), starts).tolist()
             for (*row, inner), x in zip(held, sums, strict=True):
                 yield *row, x + inner
@@ -434,7 +434,7 @@ class Learned:
     model: Model
 
 
-def learn(docs: DataFrame, most_words: int = 200_000, least_own: int = 50, most_own: int = 8192) -> Learned:
+def learn(docs: DataFrame, most_words: int = 200_000, least_own: int = 50, most_own: int = 2048) -> Learned:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), common.utf8().alias("text"))
     counts = count_words(rows.where(~F.col("held_out")))

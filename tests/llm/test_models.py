@@ -72,7 +72,7 @@ def test_lm_learns_and_is_normalised():
     r = np.random.default_rng(1)
     units = np.concatenate([np.where(r.random(1) < 0.5, 0, 60) + r.integers(0, 50, 40) for _ in range(600)])
     units = np.where(r.random(len(units)) < 0.2, lm.UNITS + r.integers(0, 30, len(units)), units)
-    own = np.repeat([200, 201, 202], 10)
+    own = np.repeat([150, 151, 152], 10)
     members = lm.Members.of(own, np.full(30, 9.0), np.full(lm.UNITS, 4.0))
     starts = np.arange(0, len(units), 40)
     context = lm.contexts(units, starts, len(members.unit))
