@@ -1,4 +1,4 @@
-"""python -m driftlens analyse --pairs DIR [--headers DIR] [--report FILE] [--template FILE --page FILE]
+"""python -m driftlens analyse --pairs DIR [--headers DIR] [--report FILE] [--summary DIR] [--template FILE --page FILE]
 
 Exit status: 0 done, 1 failed, 2 not understood.
 """
@@ -6,6 +6,7 @@ Exit status: 0 done, 1 failed, 2 not understood.
 from __future__ import annotations
 
 import argparse
+import gzip
 import sys
 from pathlib import Path
 
@@ -16,7 +17,8 @@ def main(args: list[str] | None = None) -> int:
     analyse = commands.add_parser("analyse", help="figures of a study from its artefacts")
     analyse.add_argument("--pairs", required=True)
     analyse.add_argument("--headers")
-    analyse.add_argument("--report")
+    analyse.add_argument("--report", help="compressed if its name ends with .gz")
+    analyse.add_argument("--summary", help="folder for the figures as an artefact")
     analyse.add_argument("--template")
     analyse.add_argument("--page")
     update = commands.add_parser("update", help="adds artefacts that are new to the counts")
@@ -34,12 +36,16 @@ def main(args: list[str] | None = None) -> int:
             print(f"{incremental.update_counts(spark, given.pairs, given.out, given.checkpoint)} batches")
             return 0
         from driftlens.plans import rendering, study
+        from driftlens.sources import artifacts
 
         summary = study.analyse(study.from_artifacts(spark, given.pairs, given.headers))
         text = rendering.text_report(summary)
         print(text, end="")
         if given.report:
-            Path(given.report).write_text(text)
+            data = text.encode()
+            Path(given.report).write_bytes(gzip.compress(data, mtime=0) if given.report.endswith(".gz") else data)
+        if given.summary:
+            artifacts.write_artifact(study.summary_row(summary), given.summary, "summary")
         if given.template and given.page:
             Path(given.page).write_text(rendering.page(summary, Path(given.template).read_text()))
         return 0

@@ -39,6 +39,52 @@ def strip_cv(c: Column | str) -> Column:
     return F.rtrim(F.ltrim(F.regexp_replace(bare, " +", " ")))
 
 
+def peeled_name(text: Column | str, aliased: Column | str | None = None) -> Column:
+    """The name of a type as callers write it: of what an alias stands for, where that is known, without const and volatile.
+
+    A missing type, as a constructor's result, is ``<none>``.
+    """
+    named = col(text) if aliased is None else F.coalesce(col(aliased), col(text))
+    return F.coalesce(strip_cv(named), F.lit("<none>"))
+
+
+def pairing_name(pretty: Column | str) -> Column:
+    """The qualified name of a function, without result and parameters, from its readable form.
+
+    Removed and added functions of one such name are a changed signature. Template arguments, which
+    may hold blanks and brackets, belong to the name; what follows the last closing bracket does not.
+    """
+    marked = F.regexp_replace(F.trim(col(pretty)), r"operator\s*\(\)", "operator\x01\x02")
+    flat = _without_nested_arguments(F.replace(marked, F.lit("(anonymous namespace)"), F.lit("\x04anonymous\x03namespace\x05")))
+    head = F.regexp_extract(flat, r"^(.*?)\(", 1)
+    name = F.when(flat.contains("("), head).otherwise(flat)
+    name = F.when(name.contains("operator"), F.regexp_extract(name, r"([^\s]*operator.*)$", 1)).otherwise(F.substring_index(F.rtrim(name), " ", -1))
+    return F.translate(F.regexp_replace(F.regexp_replace(name, r"^[*&]+", ""), r"\s+$", ""), "\x01\x02\x03\x04\x05", "() ()")
+
+
+def _without_nested_arguments(c: Column) -> Column:
+    """Blanks and round brackets between angle brackets as marks that pairing_name() undoes; up to three levels deep."""
+    level = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>"
+    parts = F.regexp_extract_all(c, F.lit(level), F.lit(0))
+    marked = F.transform(parts, lambda p: F.translate(p, " ()", "\x03\x04\x05"))
+    between = F.split(c, level)
+    return F.array_join(F.transform(between, lambda b, k: F.concat(b, F.coalesce(F.get(marked, k), F.lit("")))), "")
+
+
+#: What a C or C++ lexer takes as one token: comments, literals, numbers, names, then marks, longest first.
+TOKEN = r"""//[^\n]*|/\*[\s\S]*?\*/|(?:u8|[uUL])?"(?:\\[^\n]|[^"\\\n])*"|(?:[uUL]|u8)?'(?:\\[^\n]|[^'\\\n])*'|\.?[0-9](?:[eEpP][+-]|'?[0-9A-Za-z_]|\.)*|[A-Za-z_$][A-Za-z0-9_$]*|<=>|\.\.\.|->\*|<<=|>>=|::|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\|=|\^=|##|\.\*|[^\x20\x09-\x0d]"""
+
+
+def tokens(source: Column | str) -> Column:
+    """The tokens of C or C++ source text in order, comments included."""
+    return F.regexp_extract_all(col(source), F.lit(TOKEN), F.lit(0))
+
+
+def tokens_of(source: Column | str) -> Column:
+    """The tokens with one space between: texts that differ in white space only are equal."""
+    return F.array_join(tokens(source), " ")
+
+
 def fingerprint(c: Column | str) -> Column:
     """The first 16 hex digits of SHA-1."""
     return F.substring(F.sha1(col(c).cast("binary")), 1, 16)

@@ -27,6 +27,13 @@ KINDS = (
     ("inline_body_changed", "Header bodies", False, False, True, INLINE),
     ("macro_value_changed", "Header bodies", False, False, False, INLINE),
 )
+#: Why no mechanism absorbs a kind.
+REASONS = {
+    "function_signature_changed": "source-level API break; indirection cannot help",
+    "symbol_removed": "source-level API break; indirection cannot help",
+    "symbol_added": "additive; already compatible without resilience",
+    "symbol_version_renamed": "library renames all symbols per release by policy",
+}
 GROUP_ORDER = ("Symbols", "Enums", "Layout", "Dispatch", "Header bodies")
 FRAMINGS = ("binary", "evolution", "inline")
 SCHEMA = "ord int, kind string, grp string, binary boolean, evolution boolean, inline boolean, mechanism string, absorbed boolean"
@@ -37,6 +44,12 @@ def verdict(mechanism: str) -> str:
     return "absorbed" if mechanism in MECHANISMS else "not_absorbed" if mechanism == NONE else "neutral"
 
 
+def reason(kind: str) -> str:
+    """The mechanism that absorbs a kind, or why none does; empty for kinds that aren't of the taxonomy."""
+    mechanism = {k[0]: k[5] for k in KINDS}.get(kind, "")
+    return mechanism if mechanism in MECHANISMS else REASONS.get(kind, "")
+
+
 def rows() -> list[tuple]:
     return [(i, *k, k[5] in MECHANISMS) for i, k in enumerate(KINDS, 1)]
 

@@ -572,3 +572,28 @@ def q77_pair_language(spark, d):
 def q78_taxonomy(spark, d):
     rows = [(m, taxonomy.verdict(m)) for m in (*taxonomy.MECHANISMS, taxonomy.NONE, taxonomy.NOT_APPLICABLE)]
     return taxonomy.checked(taxonomy.dimension(spark)).join(F.broadcast(spark.createDataFrame(rows, "mechanism string, verdict string")), "mechanism").select("kind", "grp", "mechanism", "verdict")
+
+
+@query(f"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{scalars.TOKEN.replace("'", "''")}') as t from documents)
+select doc_id, len(t)::bigint as n_tokens, md5(array_to_string(t, ' ')) as spelled from w""")
+def q79_tokens_of(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.size(scalars.tokens(text)).cast("bigint").alias("n_tokens"), F.md5(scalars.tokens_of(text)).alias("spelled"))
+
+
+@query("""select p_partkey, 'ns::' || replace(p_brand, '#', '_') || '<' || p_type || ', f(int)>::m' || p_size % 5 as pairing,
+       case when p_size % 3 = 0 then '<none>' else 'T' || p_size end as result from part""")
+def q80_pairing_names(spark, d):
+    owner = F.concat(F.lit("ns::"), F.translate("p_brand", "#", "_"), F.lit("<"), F.col("p_type"), F.lit(", f(int)>::m"), (F.col("p_size") % 5).cast("string"))
+    pretty = F.concat(F.lit("const T<int, long>& "), owner, F.lit("(int, g<a, b(c)>) const"))
+    result = F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("const T"), F.col("p_size").cast("string"), F.lit(" volatile")))
+    return table(spark, d, "part").select("p_partkey", scalars.pairing_name(pretty).alias("pairing"), scalars.peeled_name(result).alias("result"))
+
+
+@query(f"""with {_STUDY}, f as (select kind, count(*) as transitions, sum(n)::bigint as events from lg join good using (id) where not mass group by kind)
+select (select count(*) from good where not mass) as transitions, (select count(distinct source) from good where not mass) as libraries,
+       (select count(*) from good where mass) as mass_rename_excluded, kind, f.transitions as with_kind, events from f""")
+def q81_summary_artifact(spark, d):
+    row = study.summary_row(study.analyse(_artifact_corpus(spark, d)))
+    rows = row.select("corpus.*", F.explode(F.col("frequency")["all"]["rows"]).alias("r"))
+    return rows.select("transitions", "libraries", "mass_rename_excluded", "r.kind", F.col("r.transitions").alias("with_kind"), "r.events")

@@ -18,11 +18,15 @@ def text_report(s: Summary) -> str:
     """Fixed-width tables: the corpus, kinds by language, breaks, rescue by framing, churn and instability."""
     c = s.corpus.first()
     lines = [f"transitions {c['transitions']}, libraries {c['sources']}; without {c['mass_rename']} mass renames {c['kept']}, {c['kept_sources']}", ""]
+    left_out = {r["what"]: r["events"] for r in s.filtered.collect()}
+    lines += ["== events left out", f"types of other libraries' headers {left_out.get('third_party') or 0}, symbols of private version nodes {left_out.get('private_node') or 0}", ""]
     rows = s.frequency.collect()
+    sizes = {r["language"]: r["n"] for r in s.sizes.collect()}
+    mechanisms = {k[0]: k[5] for k in taxonomy.KINDS}
     for language in ("all", "c", "cxx"):
         part = sorted((r for r in rows if r["language"] == language), key=lambda r: r["ord"])
-        lines += [f"== changes, {language}", f"{'kind':<32}{'transitions':>12}{'events':>10}{'median':>9}{'max':>8}"]
-        lines += [f"{r['kind']:<32}{r['transitions']:>12}{r['events']:>10}{r['median']:>9.1f}{r['most']:>8}" for r in part] + [""]
+        lines += [f"== changes, {language}", f"{'kind':<32}{'transitions':>12}{'share':>8}{'events':>10}{'median':>9}{'max':>8}  {'verdict':<14}mechanism"]
+        lines += [f"{r['kind']:<32}{r['transitions']:>12}{percent(r['transitions'], sizes[language]):>8}{r['events']:>10}{r['median']:>9.1f}{r['most']:>8}  {taxonomy.verdict(mechanisms[r['kind']]):<14}{mechanisms[r['kind']]}" for r in part] + [""]
     b = s.breaks.first()
     lines += ["== binary breaks", f"breaking {b['breaking']} of {b['n']} ({percent(b['breaking'], b['n'])}), declared {b['declared']}, silent {b['silent']}", ""]
     for framing in taxonomy.FRAMINGS:

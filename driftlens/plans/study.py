@@ -61,6 +61,7 @@ class Summary:
     top_churn: DataFrame
     unstable: DataFrame
     layout_enum: DataFrame
+    sizes: DataFrame
 
 
 def analyse(c: Corpus) -> Summary:
@@ -85,9 +86,49 @@ def analyse(c: Corpus) -> Summary:
         top,
         prevalence.most_unstable(per_source, "source"),
         layout_enum,
+        _sizes(good),
     )
 
 
+def _sizes(good: DataFrame) -> DataFrame:
+    """language, n, libraries: what the shares of each language's table are of; all is every language."""
+    sets = good.groupingSets([[], ["language"]], "language")
+    return sets.agg(F.count("*").alias("n"), F.count_distinct("source").alias("libraries"), F.grouping("language").alias("_all")).select(F.when(F.col("_all") == 1, "all").otherwise(F.col("language")).alias("language"), "n", "libraries")
+
+
+def summary_row(s: Summary) -> DataFrame:
+    """The figures of a study as the one row of a summary artefact; write_artifact() writes it.
+
+    Each part is an aggregate of one of the summary's small frames, so nothing is collected.
+    """
+    spark = s.corpus.sparkSession
+    dim = taxonomy.dimension(spark).select("kind", "mechanism")
+    entries = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
+    corpus = s.corpus.select(F.struct(F.col("kept").alias("transitions"), F.col("kept_sources").alias("libraries"), F.col("mass_rename").alias("mass_rename_excluded")).alias("corpus"))
+    rows = F.array_sort(F.collect_list(F.struct("ord", "kind", "transitions", "events", F.col("median").cast("double").alias("median"), F.col("most").cast("bigint").alias("max"), "mechanism")))
+    rows = F.transform(rows, lambda r: r.dropFields("ord"))
+    tables = s.frequency.join(dim, "kind").groupBy("language").agg(rows.alias("rows")).join(s.sizes, "language")
+    tables = tables.select("language", F.struct(F.col("language").alias("title"), "n", "libraries", "rows").alias("v"))
+    rescued = None
+    for k, f in enumerate(taxonomy.FRAMINGS):
+        part = s.rescue[f].groupBy("affected", "fully_rescued").agg(F.array_sort(F.collect_list(F.struct("mechanism", "needed_by", "sole_reason"))).alias("mechanisms"))
+        part = part.select(F.lit(f).alias("framing"), F.struct("affected", "fully_rescued", "mechanisms").alias("v"))
+        rescued = part if k == 0 else rescued.unionByName(part)
+    most = F.array_sort(F.collect_list(F.struct((-F.col("breaking")).alias("b"), (-F.col("total")).alias("t"), "source", "breaking", "total")))
+    parts = [
+        corpus,
+        s.filtered.agg(entries("what", F.col("events").cast("bigint").alias("v")).alias("filtered")),
+        tables.agg(entries("language", "v").alias("frequency")),
+        s.breaks.select(F.struct("n", "breaking", "declared", "silent").alias("breaks")),
+        rescued.agg(entries("framing", "v").alias("rescue")),
+        s.unstable.agg(F.transform(most, lambda u: u.dropFields("b", "t")).alias("unstable")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    return out
+
+
 # From facts
 
 

@@ -26,8 +26,14 @@ def read_popcon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_depends(spark: SparkSession, path: str) -> DataFrame:
-    """name, depends from a Packages index of stanzas; packages without a Depends line have none."""
-    stanzas = spark.read.option("lineSep", "\n\n").text(path)
+    """name, depends from a Packages index of stanzas; packages without a Depends line have none.
+
+    Plain, gz and bz2 files are read by Spark; ones whose path ends with .xz or .zst are unpacked whole, one a task.
+    """
+    if path.endswith((".xz", ".zst")):
+        stanzas = read_compressed_text(spark, path).select(F.explode(F.split("text", "\n\n")).alias("value"))
+    else:
+        stanzas = spark.read.option("lineSep", "\n\n").text(path)
     field = lambda k: F.regexp_extract("value", rf"(?m)^{k}: (.*)$", 1)
     return stanzas.select(field("Package").alias("name"), field("Depends").alias("depends")).where("name <> ''")
 
@@ -58,6 +64,36 @@ def read_compressed_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string")
 
 
+#: The items of an archive's saved answers, by what was asked.
+ANSWERS = {
+    "versions": "version: string",
+    "binpackages": "name: string, version: string",
+    "origin": "source: string, version: string",
+    "binfiles": "hash: string, architecture: string, name: string",
+}
+
+
+def read_answers(spark: SparkSession, path: str, asked: str) -> DataFrame:
+    """file_path, place and the items' fields from saved JSON answers ({"result": [...]}), one a file.
+
+    Items keep their order in place, from 0. Answers that aren't JSON, or have no result, give no rows.
+    """
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_path"))
+    result = F.from_json("value", f"struct<result: array<struct<{ANSWERS[asked]}>>>")["result"]
+    return whole.select("file_path", F.posexplode(result).alias("place", "item")).select("file_path", "place", "item.*")
+
+
+def source_versions(answers: DataFrame) -> DataFrame:
+    """The rows of "versions" whose version is one: others can't be ordered, so they can't be paired."""
+    return answers.where(scalars.version_parts("version").isNotNull())
+
+
+def newest_origin(answers: DataFrame, binary: str) -> DataFrame:
+    """binary, source, version from "origin": the first item of each answer, without a source the binary's own name."""
+    first = answers.groupBy(binary).agg(F.min_by(F.struct("source", "version"), "place").alias("o"))
+    return first.select(binary, F.coalesce("o.source", binary).alias("source"), "o.version")
+
+
 def _stream(raw: bytes):
     """A stream that tarfile reads; it knows gz, bz2 and xz itself."""
     if raw[:4] == b"\x28\xb5\x2f\xfd":

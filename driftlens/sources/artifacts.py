@@ -14,15 +14,18 @@ OBJECT = f"struct<soname: array<string>, language: string, public: {COUNTS}, thi
 COVERAGE = "struct<header_files: int, parsed: int, with_fatal: int, with_errors: int, parsed_as_cxx: int, skipped: int>"
 HEADER_DIFF = "struct<definitions_1: int, definitions_2: int, definitions_common: int, definitions_added: int, definitions_removed: int, inline_body_changed: int, inline_body_changed_template: int, inline_decl_changed: int, macros_1: int, macros_2: int, macros_common: int, macro_value_changed: int, macro_value_changed_nonversion: int, examples: array<string>>"
 DEFINITION = "struct<path: string, name: string, kind: string, decl: string, body: string, tokens: int>"
+FREQUENCY = "struct<title: string, n: bigint, libraries: bigint, rows: array<struct<kind: string, transitions: bigint, events: bigint, median: double, max: bigint, mechanism: string>>>"
+RESCUE = "struct<affected: bigint, fully_rescued: bigint, mechanisms: array<struct<mechanism: string, needed_by: bigint, sole_reason: bigint>>>"
 #: Payload schemas by stage; the schema id of stage s is tool/s/n.
 PAYLOADS = {
     "selection": "struct<libraries: array<struct<rank: int, installs: bigint, binary: string, source: string, language_hint: string>>>",
     "plan": f"struct<jobs: array<struct<source: string, v1: {RELEASE}, v2: {RELEASE}>>>",
     "pair": f"struct<id: string, source: string, upstream: array<string>, objects: array<{OBJECT}>, unpaired: array<array<string>>, object_errors: array<string>, seconds: double, error: string>",
     "header-index": f"struct<language: string, definitions: map<string, {DEFINITION}>, macros: map<string, string>, coverage: {COVERAGE}>",
+    "summary": f"struct<corpus: struct<transitions: bigint, libraries: bigint, mass_rename_excluded: bigint>, filtered: map<string, bigint>, frequency: map<string, {FREQUENCY}>, breaks: struct<n: bigint, breaking: bigint, declared: bigint, silent: bigint>, rescue: map<string, {RESCUE}>, unstable: array<struct<source: string, breaking: bigint, total: bigint>>>",
     "header-pair": f"struct<id: string, source: string, upstream: array<string>, language: string, coverage: array<{COVERAGE}>, diff: {HEADER_DIFF}, error: string>",
 }
-VERSIONS = {"selection": ("1",), "plan": ("1",), "pair": ("1",), "header-index": ("1", "2"), "header-pair": ("2",)}
+VERSIONS = {"selection": ("1",), "plan": ("1",), "pair": ("1",), "header-index": ("1", "2"), "header-pair": ("2",), "summary": ("1",)}
 
 
 def read_artifacts(spark: SparkSession, path: str, stage: str) -> DataFrame:

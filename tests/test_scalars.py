@@ -86,3 +86,39 @@ def test_taxonomy(spark):
     assert spark.range(1).select(scalars.percent(F.lit(1), F.lit(0)), scalars.percent(F.lit(1), F.lit(3))).first()[:] == (None, 33.3)
     with pytest.raises(Exception, match="unknown change kind"):
         taxonomy.checked(spark.createDataFrame([("nonsense",)], "kind string")).collect()
+
+
+def test_names_that_pair_functions(spark):
+    said = {
+        "void A::f(int)": "A::f",
+        "A::A()": "A::A",
+        "std::vector<int, std::allocator<int> >::push_back(int const&)": "std::vector<int, std::allocator<int> >::push_back",
+        "const T<a, b(c)>& ns::g<void (int)>(T<a, b(c)>) const": "ns::g<void (int)>",
+        "bool operator<(A const&, std::vector<int> const&)": "operator<",
+        "int F::operator()(int) const": "F::operator()",
+        "A::operator bool() const": "A::operator bool",
+        "(anonymous namespace)::h(int)": "(anonymous namespace)::h",
+        "char* name(void)": "name",
+        "plain": "plain",
+        "": "",
+    }
+    assert one(spark, scalars.pairing_name, list(said)) == list(said.values())
+    assert one(spark, scalars.pairing_name, [None, "f()"]) == [None, "f"]
+    assert one(spark, scalars.peeled_name, ["const char *", "volatile int", None]) == ["char *", "int", "<none>"]
+
+
+def test_tokens(spark):
+    said = {
+        "int  f( int a ){return a<<=2;}": "int f ( int a ) { return a <<= 2 ; }",
+        'x = "a \\" b" + \'c\'; // end': 'x = "a \\" b" + \'c\' ; // end',
+        "1.5e-3f+0x1F->p::q...": "1.5e-3f + 0x1F -> p :: q ...",
+        "/* a\nb */ ##": "/* a\nb */ ##",
+        "\"open": "\" open",
+        "": "",
+    }
+    assert one(spark, scalars.tokens_of, list(said)) == list(said.values())
+
+
+def test_reasons():
+    assert taxonomy.reason("vtable_changed") == taxonomy.DISPATCH and taxonomy.reason("symbol_added").startswith("additive")
+    assert taxonomy.reason("unheard of") == "" and all(taxonomy.reason(k[0]) for k in taxonomy.KINDS)

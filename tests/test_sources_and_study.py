@@ -168,3 +168,35 @@ def test_elf_symbols(spark):
     odd = spark.createDataFrame([("p", "good", raw), ("p", "cut", raw[:5000]), ("p", "head", raw[:20]), ("p", "text", b"int x;")], "package string, path string, content binary")
     assert {r["path"] for r in elf.exported_symbols(odd).select("path").distinct().collect()} == {"good"}
     assert {r["path"] for r in elf.unreadable(odd).collect()} == {"cut", "head"}
+
+
+def test_compressed_package_indexes(spark, tmp_path):
+    text = b"Package: a\nDepends: libc6\n\nPackage: b\nVersion: 1\n"
+    (tmp_path / "Packages.xz").write_bytes(lzma.compress(text))
+    (tmp_path / "Packages.gz").write_bytes(gzip.compress(text))
+    for name in ("Packages.xz", "Packages.gz"):
+        assert sorted(map(tuple, archive.read_depends(spark, str(tmp_path / name)).collect())) == [("a", "libc6"), ("b", "")]
+
+
+def test_saved_answers(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"package": "a", "result": [{"version": "1:2.0-1", "extra": 1}, {"version": ":bad"}]}))
+    (tmp_path / "b.json").write_text("not json")
+    answers = archive.read_answers(spark, str(tmp_path), "versions")
+    assert sorted((r["place"], r["version"]) for r in answers.collect()) == [(0, "1:2.0-1"), (1, ":bad")]
+    assert [r["version"] for r in archive.source_versions(answers).collect()] == ["1:2.0-1"]
+    (tmp_path / "c.json").write_text(json.dumps({"result": [{"version": "2"}, {"source": "old", "version": "1"}]}))
+    origin = archive.read_answers(spark, str(tmp_path / "c.json"), "origin").selectExpr("'libx' as binary", "place", "source", "version")
+    assert [tuple(r) for r in archive.newest_origin(origin, "binary").collect()] == [("libx", "libx", "2")]
+
+
+def test_summary_artifact(spark, folder, tmp_path):
+    s = study.analyse(study.from_artifacts(spark, f"{folder}/pairs", f"{folder}/headers"))
+    artifacts.write_artifact(study.summary_row(s), str(tmp_path / "summary"), "summary")
+    row = artifacts.read_artifacts(spark, str(tmp_path / "summary"), "summary").first()
+    assert tuple(row["corpus"]) == (3, 2, 1)
+    assert row["filtered"] == {"third_party": 3, "private_node": 7}
+    assert row["frequency"]["all"]["n"] == 3 and row["frequency"]["cxx"]["n"] == 1 and row["frequency"]["c"]["libraries"] == 2
+    assert set(row["rescue"]) == {"binary", "evolution", "inline"} and len(row["rescue"]["inline"]["mechanisms"]) == 4
+    text = rendering.text_report(s)
+    assert "headers 3, symbols of private version nodes 7" in text
+    assert any(x.startswith("vtable_changed") and " 100.0%" in x and "absorbed" in x for x in text.split("== changes, cxx")[1].splitlines())
