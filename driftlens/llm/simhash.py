@@ -267,12 +267,18 @@ def one_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
 
 
 def leading(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """one_of_each for sets given by found (doc_id, text_hash, component_id, set), a row for each row of docs."""
+    """one_of_each for sets given by found (doc_id, text_hash, component_id, set), a row for each row of docs.
+
+    Only the rows with a set's smallest doc_id, mostly one a set, meet their set; the others go as they
+    are, so a set of any size stays spread over all tasks.
+    """
     alike = found.groupBy("set", "doc_id", "text_hash", "component_id").agg(F.count("*").alias("n"))
     alike = common.written(alike, "alike")
-    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = alike.where(leads).groupBy("set").agg(F.min("text_hash").alias("first"))
-    judged = alike.join(first, "set").select("doc_id", "text_hash", (leads & (F.col("text_hash") == F.col("first"))).alias("stays"), "n")
+    leads = F.when(F.col("doc_id") != common.NULL_ID, F.col("doc_id")).eqNullSafe(F.col("component_id"))
+    first = alike.where(leads).groupBy("set").agg(F.min(F.struct("text_hash", "doc_id")).alias("first")).select("set", "first.text_hash", "first")
+    stays = F.col("first").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    heads = alike.where(leads).join(first, ["set", "text_hash"], "left").select("doc_id", "text_hash", stays.alias("stays"), "n")
+    judged = heads.unionByName(alike.where(~leads).select("doc_id", "text_hash", F.lit(False).alias("stays"), "n"))
     other = common.written(judged.where("not stays or n > 1"), "not-alone")
     mine = [common.free_name(docs, x) for x in ("_id", "_hash")]
     ids, hashes = (common.free_name(docs, x) for x in ("_of", "_with"))

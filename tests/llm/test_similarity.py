@@ -118,6 +118,16 @@ def test_one_of_each(spark):
     for found in (simhash.one_of_each(docs(spark, rows)), simhash.leading(docs(spark, rows), near_copies.grouped(docs(spark, rows)))):
         assert sorted(((x["doc_id"], x["text"]) for x in found.collect()), key=str) == sorted([rows[k] for k in range(4)], key=str)
 
+    # the largest number counts as no id
+    top = 2**63 - 1
+    rows = [(top, "one text of the last id"), (top, "one text of the last id"), (None, "one text of the last id"), (3, "another text with an id")]
+    assert sorted((x["text"] for x in simhash.one_of_each(docs(spark, rows)).collect())) == ["another text with an id", "one text of the last id"]
+
+
+def test_a_large_group_keeps_its_first_row_only(spark):
+    rows = [(k, "the same words in all of these many texts") for k in range(3000, 0, -1)] + [(5000, "and one text that stands alone")]
+    assert sorted(x["doc_id"] for x in simhash.one_of_each(docs(spark, rows)).collect()) == [1, 5000]
+
 
 def test_small_groups_are_searched_by_the_index(monkeypatch):
     sizes = []
