@@ -132,35 +132,52 @@ class Model:
         codes, n = len(members.unit), len(members.mass)
         return Model(members, normal(UNITS, DIM), np.log(unigram).astype(np.float32), normal(codes + 1, DIM), np.ones((CONTEXT, DIM), np.float32), np.zeros((n, DIM), np.float32), members.log_share.copy())
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        q = self.into[context[:, 0]] * self.place[0]
-        for k in range(1, CONTEXT):
-            q += self.into[context[:, k]] * self.place[k]
+    def hidden(self, context: np.ndarray, batch: int = 4096) -> np.ndarray:
+        placed = [self.into * self.place[k] for k in range(CONTEXT)]
+        q = np.empty((len(context), DIM), np.float32)
+        for lo in range(0, len(context), batch):
+            part, at = q[lo : lo + batch], context[lo : lo + batch]
+            np.take(placed[0], at[:, 0], 0, part, "clip")
+            for k in range(1, CONTEXT):
+                part += placed[k].take(at[:, k], 0)
         return q
 
+    @staticmethod
+    def _turned(vectors: np.ndarray, bias: np.ndarray, longest: float) -> tuple[np.ndarray, bool]:
+        """Vectors as columns with the bias below, of which the highest becomes zero; and whether a score may be over 80."""
+        most = longest * np.einsum("ij,ij->i", vectors, vectors).max(initial=0)
+        return np.vstack([vectors.T, bias - bias.max()]), bool(not most < 80**2)
+
     def log_probabilities(self, context: np.ndarray, target: np.ndarray, batch: int = 1024) -> np.ndarray:
         """Natural logs of codes, normalised over all classes and within them."""
-        out, unit, q = np.empty(len(target)), self.members.unit[target], self.hidden(context)
-        turned, bias = np.ascontiguousarray(self.out.T), self.bias - self.bias.max()
+        out, unit = np.empty(len(target)), self.members.unit[target]
+        q = np.ones((len(target), DIM + 1), np.float32)  # the last column meets the bias
+        q[:, :DIM] = self.hidden(context)
+        longest = np.einsum("ij,ij->i", q, q).max(initial=0)
+        turned, high = self._turned(self.out, self.bias, longest)
         ones, scores = np.ones(UNITS, np.float32), np.empty((batch, UNITS), np.float32)
         for lo in range(0, len(target), batch):
             part = q[lo : lo + batch]
             s = np.matmul(part, turned, out=scores[: len(part)])
-            s += bias
-            np.minimum(s, 80, out=s)  # exp stays finite
+            if high:
+                np.minimum(s, 80, out=s)  # exp stays finite
             own = s[np.arange(len(s)), unit[lo : lo + batch]]
             np.exp(s, out=s)
             out[lo : lo + batch] = own - np.log(np.maximum(s @ ones, 1e-30))
         member = self.members.member[target]
         inside = np.flatnonzero(member >= 0)
-        inside = inside[np.argsort(unit[inside], kind="stable")]
+        inside = inside[np.argsort(unit[inside].astype(np.uint16), kind="stable")]
         cuts = np.searchsorted(unit[inside], np.arange(WORDS, UNITS))
         for b, lo, hi in zip(range(WORDS, WORDS + BUCKETS), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if lo < hi and self.members.end[b] - self.members.begin[b] > 1:
                 rows, first, last = inside[lo:hi], self.members.begin[b], self.members.end[b]
-                bias = self.own_bias[first:last]
-                s = np.minimum(q[rows] @ self.own[first:last].T + (bias - bias.max()), 80)
-                out[rows] += s[np.arange(len(rows)), member[rows] - first] - np.log(np.maximum(np.exp(s).sum(1), 1e-30))
+                turned, high = self._turned(self.own[first:last], self.own_bias[first:last], longest)
+                s = q.take(rows, 0) @ turned
+                if high:
+                    np.minimum(s, 80, out=s)
+                own = s[np.arange(len(rows)), member[rows] - first]
+                np.exp(s, out=s)
+                out[rows] += own - np.log(np.maximum(s.sum(1), 1e-30))
         return out
 
 
@@ -179,15 +196,18 @@ class Trainer:
         m, of, n, per = self.m, self.m.members, np.float32(len(target)) ** np.float32(0.5), 8.0  # each token counts as seen against 8 noise classes
         unit, member = of.unit[target], of.member[target]
         drawn = np.minimum(np.searchsorted(self.cut, self.r.random(self.noise) * self.cut[-1]), UNITS - 1)
-        q = m.hidden(context)
-        shift = np.float32(np.log(per))
-        own = np.einsum("ij,ij->i", q, m.out[unit]) + m.bias[unit] - self.log_noise[unit] - shift
-        other = q @ m.out[drawn].T + (m.bias[drawn] - self.log_noise[drawn] - shift)
+        before = [m.into.take(context[:, k], 0) for k in range(CONTEXT)]
+        q = before[0] * m.place[0]
+        for k in range(1, CONTEXT):
+            q += before[k] * m.place[k]
+        shift, real, noise = np.float32(np.log(per)), m.out.take(unit, 0), m.out.take(drawn, 0)
+        own = np.einsum("ij,ij->i", q, real) + (m.bias - self.log_noise - shift).take(unit)
+        other = q @ noise.T + (m.bias[drawn] - self.log_noise[drawn] - shift)
         g_own, g_other = _sigmoid(own) - 1, _sigmoid(other) * np.float32(per / self.noise)
-        g_q = g_own[:, None] * m.out[unit] + g_other @ m.out[drawn]
-        rows = np.concatenate([unit, drawn])
-        self._update(0, rows, np.concatenate([g_own[:, None] * q, g_other.T @ q]), n)
-        self._update(1, rows, np.concatenate([g_own, g_other.sum(0)]), n)
+        real *= g_own[:, None]
+        g_q = real
+        g_q += g_other @ noise
+        self._update((0, 1), np.concatenate([unit, drawn]), (np.concatenate([g_own[:, None] * q, g_other.T @ q]), np.concatenate([g_own, g_other.sum(0)])), n)
 
         # a token of a bucket against other members of it; buckets of one member have nothing to learn
         some = np.flatnonzero((member >= 0) & (of.end[unit] - of.begin[unit] > 1))
@@ -200,24 +220,25 @@ class Trainer:
             h_own = _sigmoid(np.einsum("ij,ij->i", p, mine) + m.own_bias[k] - self.own_log[k]) - 1
             h_other = _sigmoid(np.einsum("ij,ikj->ik", p, others) + m.own_bias[d] - self.own_log[d])
             g_q[some] += h_own[:, None] * mine + np.einsum("ik,ikj->ij", h_other, others)
-            rows = np.concatenate([k, d.ravel()])
-            self._update(4, rows, np.concatenate([h_own[:, None] * p, (h_other[:, :, None] * p[:, None, :]).reshape(-1, DIM)]), n)
-            self._update(5, rows, np.concatenate([h_own, h_other.ravel()]), n)
+            vectors = np.concatenate([h_own[:, None] * p, (h_other[:, :, None] * p[:, None, :]).reshape(-1, DIM)])
+            self._update((4, 5), np.concatenate([k, d.ravel()]), (vectors, np.concatenate([h_own, h_other.ravel()])), n)
 
-        g_place = np.stack([np.einsum("ij,ij->j", g_q, m.into[context[:, k]]) for k in range(CONTEXT)])
-        self._update(2, context.T.ravel(), np.concatenate([g_q * m.place[k] for k in range(CONTEXT)]), n)
-        self._update(3, np.arange(CONTEXT), g_place, n)
+        g_place = np.stack([np.einsum("ij,ij->j", g_q, x) for x in before])
+        self._update((2,), context.T.ravel(), (np.concatenate([g_q * m.place[k] for k in range(CONTEXT)]),), n)
+        self._update((3,), np.arange(CONTEXT), (g_place,), n)
 
-    def _update(self, which: int, rows: np.ndarray, what: np.ndarray, n: np.float32) -> None:
-        """An AdaGrad step of the rows that occur, by the sums of their gradients."""
+    def _update(self, which: tuple[int, ...], rows: np.ndarray, whats: tuple[np.ndarray, ...], n: np.float32) -> None:
+        """An AdaGrad step of the rows that occur, by the sums of their gradients; the arrays of which share the rows."""
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # codes fit two bytes, and those sort in linear time
-        rows = rows[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        rows, g = rows[first], np.add.reduceat(what[order], first, axis=0) / n
-        a, seen = self.m.arrays()[which], self.seen[which]
-        s = seen[rows] + g * g
-        seen[rows] = s
-        a[rows] -= self.rate * g / np.sqrt(s)
+        rows = rows.take(order)
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rows = rows.take(first)
+        for at, what in zip(which, whats, strict=True):
+            g = np.add.reduceat(what.take(order, 0), first, axis=0) / n
+            a, seen = self.m.arrays()[at], self.seen[at]
+            s = seen[rows] + g * g
+            seen[rows] = s
+            a[rows] -= self.rate * g / np.sqrt(s)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -227,7 +248,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def contexts(units: np.ndarray, starts: np.ndarray, before: int) -> np.ndarray:
     """The CONTEXT codes before each; texts begin at starts and don't see each other, but the code before."""
     n = len(units)
-    out = np.full((n, CONTEXT), before, np.int64)
+    out = np.full((n, CONTEXT), before, np.int64, "F")  # read by column
     since = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
     for k in range(CONTEXT):
         seen = since > k
