@@ -86,6 +86,15 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def small_batches(df: DataFrame, most: int = 1024) -> DataFrame:
+    """df; batches of rows that its session sends to Python hold at most this many from now on, as texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(df.sparkSession.conf.get(name))
+    if given <= 0 or given > most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def arrow_pass(df: DataFrame, rows: Callable[[Iterable[tuple]], Iterable[tuple]], schema: str, batch: int = 4096) -> DataFrame:
     """df through rows(), which turns an iterator of tuples into one of tuples of schema.
 
@@ -120,7 +129,7 @@ def arrow_pass(df: DataFrame, rows: Callable[[Iterable[tuple]], Iterable[tuple]]
     def pack(held: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -175,7 +184,7 @@ def free_name(df: DataFrame, name: str) -> str:
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """df.mapInArrow(run, schema) for columns of any name: run sees and gives them by place."""
     plain = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
-    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
+    return small_batches(df).toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, plain).toDF(*schema.names)
 
 
 def arrow_filter(df: DataFrame, keeper: Callable[[], Callable[[list[bytes]], list[bool]]], col: str = "text") -> DataFrame:
@@ -185,11 +194,14 @@ def arrow_filter(df: DataFrame, keeper: Callable[[], Callable[[list[bytes]], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = keeper()
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
-                yield part.filter(pa.array(keep(texts), pa.bool_()))
-        release()
+        try:
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
+                    yield part.filter(pa.array(keep(texts), pa.bool_()))
+        finally:
+            del keep  # what it remembers goes first
+            release()
 
     return mapped(df, run, df.schema)
