@@ -12,21 +12,30 @@ from pyspark.sql import functions as F
 from driftlens.functions import scalars
 
 
-def outer(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """keys, old and new (struct of values, null where the side lacks the key); each side has a key once."""
+def outer(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], together: bool = False) -> DataFrame:
+    """keys, old and new (struct of values, null where the side lacks the key); each side has a key once.
+
+    together: both sides are partitioned alike by some of the keys, so they are grouped where they lie.
+    """
     side = lambda df, name: df.select(*keys, F.struct(*values).alias(name))
-    return side(old, "old").join(side(new, "new"), keys, "full_outer")
+    if not together:
+        return side(old, "old").join(side(new, "new"), keys, "full_outer")
+    # a null key equals nothing in a join, so such rows are groups of their own
+    alone = F.when(F.concat(*[F.col(k).isNull().cast("string") for k in keys]).contains("true"), F.monotonically_increasing_id())
+    both = side(old, "v").withColumn("n", F.lit(1)).unionByName(side(new, "v").withColumn("n", F.lit(2))).withColumn("alone", alone)
+    of = lambda n: F.max(F.when(F.col("n") == n, F.col("v"))).alias(("old", "new")[n - 1])
+    return both.groupBy(*keys, "alone").agg(of(1), of(2)).drop("alone")
 
 
 def compared(sides: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """outer() for both sides in one table, told apart by the column side (1 or 2): one shuffle of the facts, no join."""
+    """outer() for both sides in one table, told apart by the column side (1 or 2): one shuffle of the facts by the first key, no join."""
     of = lambda n: F.max(F.when(F.col("side") == n, F.struct(*values))).alias(("old", "new")[n - 1])
-    return sides.groupBy(*keys).agg(of(1), of(2))
+    return sides.repartition(keys[0]).groupBy(*keys).agg(of(1), of(2))
 
 
-def set_changes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], added: str | None, removed: str | None, changed: dict[str, Column] | None = None) -> DataFrame:
+def set_changes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], added: str | None, removed: str | None, changed: dict[str, Column] | None = None, together: bool = False) -> DataFrame:
     """keys and kind, a row for each change. changed gives kinds by conditions over old.* and new.*."""
-    both = outer(old, new, keys, values)
+    both = outer(old, new, keys, values, together)
     kinds = [F.when(F.col("old").isNull(), F.lit(added)), F.when(F.col("new").isNull(), F.lit(removed))]
     kinds += [F.when(F.col("old").isNotNull() & F.col("new").isNotNull() & c, F.lit(k)) for k, c in (changed or {}).items()]
     return both.select(*keys, F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
@@ -36,31 +45,31 @@ def differs(name: str) -> Column:
     return ~F.col(f"old.{name}").eqNullSafe(F.col(f"new.{name}"))
 
 
-def members(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def members(old: DataFrame, new: DataFrame, keys: list[str], together: bool = False) -> DataFrame:
     """Data members by name: added, removed, of another type, at another offset."""
     peeled = lambda df: df.withColumn("type_name", scalars.strip_cv("type_name"))
-    return set_changes(peeled(old), peeled(new), [*keys, "type_id", "name"], ["type_name", "offset_bits"], "field_added_to_struct", "field_removed_from_struct", {"field_type_changed": differs("type_name"), "member_offset_changed": differs("offset_bits")})
+    return set_changes(peeled(old), peeled(new), [*keys, "type_id", "name"], ["type_name", "offset_bits"], "field_added_to_struct", "field_removed_from_struct", {"field_type_changed": differs("type_name"), "member_offset_changed": differs("offset_bits")}, together)
 
 
-def sizes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def sizes(old: DataFrame, new: DataFrame, keys: list[str], together: bool = False) -> DataFrame:
     """Types on both sides whose size differs; types that only one side has are no change of layout."""
-    return set_changes(old, new, [*keys, "type_id"], ["size_bits"], None, None, {"type_size_changed": differs("size_bits")})
+    return set_changes(old, new, [*keys, "type_id"], ["size_bits"], None, None, {"type_size_changed": differs("size_bits")}, together)
 
 
-def bases(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return set_changes(old, new, [*keys, "type_id", "base"], ["type_id"], "base_class_changed", "base_class_changed")
+def bases(old: DataFrame, new: DataFrame, keys: list[str], together: bool = False) -> DataFrame:
+    return set_changes(old, new, [*keys, "type_id", "base"], ["type_id"], "base_class_changed", "base_class_changed", None, together)
 
 
-def enumerators(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return set_changes(old, new, [*keys, "type_id", "name"], ["value"], "enum_case_added", "enum_case_removed")
+def enumerators(old: DataFrame, new: DataFrame, keys: list[str], together: bool = False) -> DataFrame:
+    return set_changes(old, new, [*keys, "type_id", "name"], ["value"], "enum_case_added", "enum_case_removed", None, together)
 
 
-def vtables(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def vtables(old: DataFrame, new: DataFrame, keys: list[str], together: bool = False) -> DataFrame:
     """One change for each virtual method that comes, goes or moves, and one where a class gains or loses its table."""
     virtual = lambda df: df.where("is_virtual")
-    methods = set_changes(virtual(old), virtual(new), [*keys, "type_id", "method"], ["slot"], "vtable_changed", "vtable_changed", {"vtable_changed": differs("slot")})
+    methods = set_changes(virtual(old), virtual(new), [*keys, "type_id", "method"], ["slot"], "vtable_changed", "vtable_changed", {"vtable_changed": differs("slot")}, together)
     has = lambda df: df.groupBy(*keys, "type_id").agg(F.bool_or("is_virtual").alias("virtual"))
-    tables = set_changes(has(old), has(new), [*keys, "type_id"], ["virtual"], None, None, {"vtable_changed": differs("virtual")})
+    tables = set_changes(has(old), has(new), [*keys, "type_id"], ["virtual"], None, None, {"vtable_changed": differs("virtual")}, together)
     return methods.select(*keys, "type_id", "kind").unionByName(tables)
 
 
@@ -86,6 +95,27 @@ def attributed(changes: DataFrame, types: DataFrame, own_headers: DataFrame, key
     return out.withColumn("third_party", third).drop("basename", "_own", "_any", "declared_in")
 
 
+def placed(changes: DataFrame, old_types: DataFrame, new_types: DataFrame, own_headers: DataFrame, keys: list[str]) -> DataFrame:
+    """attributed(on_both_sides()) as counts: keys, type_id, kind, third_party and n.
+
+    Changes and types meet by windows, which shuffle nothing where the tables are partitioned alike by keys.
+    """
+    at = [*keys, "type_id"]
+    known = F.concat(*[F.col(k).isNull().cast("string") for k in at]).contains("true") == F.lit(False)
+    counts = changes.where(known).groupBy(*at, "kind").agg(F.count("*").alias("n"))
+    types = [t.where(known).groupBy(*at).agg(F.min("declared_in").alias("declared_in")).withColumn("side", F.lit(k)) for k, t in enumerate((old_types, new_types), 1)]
+    rows = counts.withColumn("declared_in", F.lit(None).cast("string")).withColumn("side", F.lit(0))
+    for t in types:
+        rows = rows.unionByName(t, allowMissingColumns=True)
+    of_type = Window.partitionBy(*at)
+    rows = rows.withColumn("declared_in", F.min("declared_in").over(of_type)).withColumn("both", (F.count_if(F.col("side") == 1).over(of_type) > 0) & (F.count_if(F.col("side") == 2).over(of_type) > 0))
+    rows = rows.where("side = 0 and both").drop("both").withColumn("basename", F.substring_index("declared_in", "/", -1))
+    own = own_headers.groupBy(*keys).agg(F.collect_set("basename").alias("_own"), F.lit(3).alias("side"))
+    rows = rows.unionByName(own, allowMissingColumns=True).withColumn("_own", F.max("_own").over(Window.partitionBy(*keys)))
+    third = F.col("_own").isNotNull() & F.col("basename").isNotNull() & (F.col("basename") != "") & ~F.array_contains("_own", F.col("basename"))
+    return rows.where("side = 0").select(*at, "kind", F.coalesce(third, F.lit(False)).alias("third_party"), "n")
+
+
 # Symbols
 
 
@@ -128,15 +158,24 @@ def symbols(old: DataFrame, new: DataFrame, keys: list[str], mass_min: int = 50)
     return events, tallies.withColumn("mass_rename", (F.col("renamed") >= mass_min) & (F.col("renamed") >= F.col("plain")))
 
 
-def resolved_symbols(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def symbol_counts(old: DataFrame, new: DataFrame, keys: list[str], together: bool = False) -> DataFrame:
+    """keys, kind, private, n of symbols() in one pass; renames, which always count as public, are of kind symbol_version_renamed."""
+    step, renamed = F.col("step"), F.col("step") == "renamed"
+    kind = F.when(renamed, "symbol_version_renamed").when(step != "plain", "function_signature_changed").when(F.col("side") == 1, "symbol_removed").otherwise("symbol_added")
+    found = resolved_symbols(old, new, keys, together).select(*keys, kind.alias("kind"), (~renamed & scalars.is_private_node("version")).alias("private"))
+    return found.groupBy(*keys, "kind", "private").agg(F.count("*").alias("n"))
+
+
+def resolved_symbols(old: DataFrame, new: DataFrame, keys: list[str], together: bool = False) -> DataFrame:
     """keys, linkage, pretty, version, side (1 removed, 2 added, 0 both) and step: how each symbol that differs is accounted for.
 
     paired and renamed are said of the removed symbol of a pair only. Facts meet
     in one join; what differs is ranked twice, once by name and once by linkage
-    without digits, each within one partitioning.
+    without digits, each within one partitioning; facts that lie together by keys stay there.
     """
+    dealt = lambda df, *by: df if together else df.repartition(*by)
     old, new = (df.where(~scalars.is_compiler_symbol("linkage")) for df in (old, new))
-    both = outer(old, new, [*keys, "linkage"], ["pairing", "pretty", "version", "is_function", "return_type", "params"])
+    both = outer(old, new, [*keys, "linkage"], ["pairing", "pretty", "version", "is_function", "return_type", "params"], together)
     side = F.when(F.col("new").isNull(), 1).when(F.col("old").isNull(), 2).otherwise(0)
     changed = F.col("old.is_function") & F.col("new.is_function") & signature_differs(F.col("old.return_type"), F.col("new.return_type"), F.col("old.params"), F.col("new.params"))
     one = lambda c: F.coalesce(f"old.{c}", f"new.{c}").alias(c)
@@ -145,7 +184,7 @@ def resolved_symbols(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
     # rows that can't have a partner are groups of their own, so none of them gathers
     named = F.when((F.col("side") > 0) & F.col("is_function"), F.concat(F.lit("f"), "pairing"))
-    ranked = differ.withColumn("name", F.coalesce(named, F.concat(F.lit("x"), F.col("side").cast("string"), "linkage"))).repartition(*keys, "name")
+    ranked = dealt(differ.withColumn("name", F.coalesce(named, F.concat(F.lit("x"), F.col("side").cast("string"), "linkage"))), *keys, "name")
     within = lambda *more: Window.partitionBy(*keys, "name", *more)
     ranked = ranked.withColumn("n", F.row_number().over(within("side").orderBy("linkage")))
     shared_text = F.min("side").over(within("pretty")) != F.max("side").over(within("pretty"))
@@ -161,7 +200,7 @@ def resolved_symbols(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
     left = (F.col("side") > 0) & ~F.col("paired")
     blind = F.coalesce(F.when(left, F.concat(F.lit("b"), scalars.digits_blind("linkage"))), F.concat(F.lit("x"), F.col("side").cast("string"), "linkage"))
-    again = ranked.select(*keys, "linkage", "side", "pretty", "version", "paired", "mate", blind.alias("blind")).repartition(*keys, "blind")
+    again = dealt(ranked.select(*keys, "linkage", "side", "pretty", "version", "paired", "mate", blind.alias("blind")), *keys, "blind")
     again = again.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "blind", "side").orderBy("linkage"))).withColumn("renamed", F.count("*").over(Window.partitionBy(*keys, "blind", "n")) == 2)
     first = F.col("side") == 1
     step = F.when(F.col("side") == 0, "changed").when(F.col("paired"), F.when(first, "paired")).when(F.col("renamed"), F.when(first, "renamed")).otherwise("plain")

@@ -49,8 +49,9 @@ def transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem")
-    return lines.groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("k")).agg(F.max("l_quantity").alias("v"), F.max("l_returnflag").alias("f"), F.max("l_linestatus").alias("s"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("k"), "l_quantity", "l_returnflag", "l_linestatus")
+    # dealt by key, lines are grouped and joined by one shuffle
+    return lines.repartition("key").groupBy("key", "k").agg(F.max("l_quantity").alias("v"), F.max("l_returnflag").alias("f"), F.max("l_linestatus").alias("s"))
 
 
 def compared(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:

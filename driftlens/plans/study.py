@@ -141,17 +141,32 @@ def classify_facts(old: dict[str, DataFrame], new: dict[str, DataFrame], own_hea
     old and new hold the fact tables symbols, types, members, bases, vslots and
     enumerators of the two sides, each with the key columns.
     """
-    found = [f(old[t], new[t], KEYS) for f, t in ((changes.members, "members"), (changes.bases, "bases"), (changes.enumerators, "enumerators"), (changes.vtables, "vslots"), (changes.sizes, "types"))]
-    layout = found[0].select(*KEYS, "type_id", "kind")
-    for f in found[1:]:
-        layout = layout.unionByName(f.select(*KEYS, "type_id", "kind"))
-    layout = changes.on_both_sides(layout, old["types"], new["types"], KEYS)
+    layout = changes.on_both_sides(_layout(old, new), old["types"], new["types"], KEYS)
     layout = changes.attributed(layout, old["types"].unionByName(new["types"], allowMissingColumns=True), own_headers, KEYS).withColumn("private", F.lit(False))
     events, tallies = changes.symbols(old["symbols"], new["symbols"], KEYS)
     events = events.select(*KEYS, "kind", F.lit(False).alias("third_party"), "private")
     return layout.select(*KEYS, "kind", "third_party", "private").unionByName(events), tallies
 
 
+def classified_counts(old: dict[str, DataFrame], new: dict[str, DataFrame], own_headers: DataFrame) -> DataFrame:
+    """keys, kind, third_party, private, n: the events of classify_facts() counted, and renames as symbol_version_renamed.
+
+    The tables are partitioned alike by some of KEYS, as artifacts.kept_by() gives them, and nothing is shuffled again.
+    """
+    layout = changes.placed(_layout(old, new, True), old["types"], new["types"], own_headers, KEYS)
+    symbols = changes.symbol_counts(old["symbols"], new["symbols"], KEYS, True)
+    found = layout.select(*KEYS, "kind", "third_party", F.lit(False).alias("private"), "n").unionByName(symbols.withColumn("third_party", F.lit(False)))
+    return found.groupBy(*KEYS, "kind", "third_party", "private").agg(F.sum("n").alias("n"))
+
+
+def _layout(old: dict[str, DataFrame], new: dict[str, DataFrame], together: bool = False) -> DataFrame:
+    found = [f(old[t], new[t], KEYS, together) for f, t in ((changes.members, "members"), (changes.bases, "bases"), (changes.enumerators, "enumerators"), (changes.vtables, "vslots"), (changes.sizes, "types"))]
+    layout = found[0].select(*KEYS, "type_id", "kind")
+    for f in found[1:]:
+        layout = layout.unionByName(f.select(*KEYS, "type_id", "kind"))
+    return layout
+
+
 def public_counts(events: DataFrame, tallies: DataFrame) -> DataFrame:
     """keys, kind, n of public events, with renames, which always count as public."""
     renamed = tallies.where("renamed > 0").select(*KEYS, F.lit("symbol_version_renamed").alias("kind"), F.col("renamed").alias("n"))

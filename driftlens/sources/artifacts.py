@@ -5,6 +5,10 @@ Schemas are always explicit: inference would lose maps that happen to be empty.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +65,29 @@ def write_artifact(df: DataFrame, path: str, stage: str, tool: str = "driftlens"
     df.select(F.lit(f"{tool}/{stage}/{VERSIONS[stage][-1]}").alias("schema"), F.lit(tool).alias("tool"), now.alias("generated_at"), data).write.mode("overwrite").json(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go as soon as it is written, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def kept_by(df: DataFrame, by: list[str], path: str) -> DataFrame:
+    """df written to path and read back, with rows of equal by in one partition: what groups by these columns needs no shuffle."""
+    spark = df.sparkSession
+    width, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"driftlens_{uuid.uuid4().hex}"
+    with shuffles_freed(spark):
+        df.repartition(width, *by).write.format("parquet").option("path", path).bucketBy(width, *by).sortBy(*by).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")  # the name only: files in a folder of their own stay
+    return out
+
+
 def last_of_folders(spark: SparkSession, folders: list[str], read, key: str) -> DataFrame:
     """Rows of several folders, of equal keys that of the last folder."""
     all_ = None
