@@ -49,3 +49,8 @@ def test_kept_tables_leave_no_name_and_no_setting(spark, tmp_path):
     df = artifacts.kept_by(spark.range(100).withColumn("g", F.col("id") % 7), ["g"], f"{tmp_path}/kept")
     assert df.count() == 100 and not [t for t in spark.catalog.listTables() if t.name.startswith("driftlens")]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_q48_classified_facts_shuffles_no_facts_again(spark):
+    df = domain.q48_classified_facts(spark, "/root/testdata/sf0.001")
+    assert shuffles(df) == 0 and "symbol_version_renamed" not in {r["kind"] for r in df.select("kind").distinct().collect()}
