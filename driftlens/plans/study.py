@@ -23,18 +23,23 @@ class Corpus:
     header_pairs: DataFrame
 
 
-def from_artifacts(spark: SparkSession, pairs_path: str, headers_path: str | None = None, strict_reference: bool = False) -> Corpus:
+def from_artifacts(spark: SparkSession, pairs_path: str, headers_path: str | None = None, strict_reference: bool = False, folder: str | None = None) -> Corpus:
     """Transitions without an error and with an object; header data where it exists.
 
-    Changed macros count without version stamps; with strict_reference all of them do.
+    Changed macros count without version stamps; with strict_reference all of them do. With folder,
+    what figures need is kept there, dealt by transition, so none parses or shuffles it again.
     """
+    keep = lambda df, name: artifacts.kept_by(df, ["id"], f"{folder}/{name}") if folder else df
     macros = "macro_value_changed" if strict_reference else "macro_value_changed_nonversion"
     pairs = artifacts.read_artifacts(spark, pairs_path, "pair").where("error is null and size(objects) > 0")
     objects = pairs.select("id", "source", F.explode("objects").alias("o"))
+    used = ("language", "soname", "coverage", "mass_rename", "public", "third_party", "private_node")
+    objects = keep(objects.select("id", "source", F.struct(*[f"o.{c}" for c in used]).alias("o")), "objects")
     if headers_path is None:
         header_pairs = spark.createDataFrame([], f"id string, diff {artifacts.HEADER_DIFF}, coverage array<{artifacts.COVERAGE}>")
     else:
         header_pairs = artifacts.read_artifacts(spark, headers_path, "header-pair").where("error is null and diff is not null").select("id", "diff", "coverage")
+        header_pairs = keep(header_pairs, "header-pairs")
     # artefacts of other tools may lack the figure without version stamps; it is the whole count then
     other = F.coalesce("diff.macro_value_changed_nonversion", "diff.macro_value_changed")
     header_pairs = header_pairs.dropDuplicates(["id"]).withColumn("diff", F.col("diff").withField("macro_value_changed_nonversion", other))

@@ -51,18 +51,23 @@ def is_of(stage: str) -> Column:
 
 
 def _enveloped(spark: SparkSession, path: str, stage: str) -> DataFrame:
-    """Files hold one artefact in any layout, or many, each beginning a line."""
+    """Files hold one artefact in any layout, or many, each beginning a line.
+
+    Files are read artefact by artefact, never whole. The separator takes the brace of all but
+    a file's first; no object goes on with a second brace, so what has none gets it back.
+    """
     schema = f"schema string, tool string, generated_at string, data {PAYLOADS[stage]}, _corrupt_record string"
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"), F.col("_metadata.file_name").alias("file_name"))
-    read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("a")
-    return whole.where(F.trim("value") != "").select(read, "file_name").select("a.*", "file_name")
+    each = spark.read.text(path, lineSep="\n{").select("value", F.col("_metadata.file_name").alias("file_name")).where(F.trim("value") != "")
+    value = F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")).otherwise(F.concat(F.lit("{"), "value"))
+    read = F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("a")
+    return each.select(read, "file_name").select("a.*", "file_name")
 
 
-def write_artifact(df: DataFrame, path: str, stage: str, tool: str = "driftlens") -> None:
-    """Each row of df (the payload's columns) as one JSON line in the envelope; the job commits as a whole."""
+def write_artifact(df: DataFrame, path: str, stage: str, tool: str = "driftlens", compression: str = "none") -> None:
+    """Each row of df (the payload's columns) as one JSON line in the envelope; the job commits as a whole. Readers take gzip as well."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     data = F.struct(*df.columns).alias("data")
-    df.select(F.lit(f"{tool}/{stage}/{VERSIONS[stage][-1]}").alias("schema"), F.lit(tool).alias("tool"), now.alias("generated_at"), data).write.mode("overwrite").json(path)
+    df.select(F.lit(f"{tool}/{stage}/{VERSIONS[stage][-1]}").alias("schema"), F.lit(tool).alias("tool"), now.alias("generated_at"), data).write.mode("overwrite").json(path, compression=compression)
 
 
 @contextmanager
