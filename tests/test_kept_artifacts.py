@@ -3,6 +3,8 @@
 import gzip
 import json
 
+import pytest
+
 from driftlens.plans import domain, study
 from driftlens.sources import artifacts
 
@@ -53,5 +55,6 @@ def test_kept_studies_parse_nothing_again(spark, folder):  # noqa: F811
         assert "from_json" not in plan(y) and "FileScan text" not in plan(y), name
 
 
-def test_q71_artifact_rollup_parses_nothing_again(spark):
-    assert "from_json" not in plan(domain.q71_artifact_rollup(spark, SF))
+@pytest.mark.parametrize("query", [domain.q71_artifact_rollup, domain.q81_summary_artifact])
+def test_queries_parse_nothing_again(spark, query):
+    assert "from_json" not in plan(query(spark, SF))
