@@ -55,6 +55,6 @@ def test_kept_studies_parse_nothing_again(spark, folder):  # noqa: F811
         assert "from_json" not in plan(y) and "FileScan text" not in plan(y), name
 
 
-@pytest.mark.parametrize("query", [domain.q71_artifact_rollup, domain.q81_summary_artifact, domain.q73_filtered_totals, domain.q75_top_body_churn, domain.q72_study_frequency, domain.q74_study_churn])
+@pytest.mark.parametrize("query", [domain.q71_artifact_rollup, domain.q81_summary_artifact, domain.q73_filtered_totals, domain.q75_top_body_churn, domain.q72_study_frequency, domain.q74_study_churn, domain.q76_layout_and_enums])
 def test_queries_parse_nothing_again(spark, query):
     assert "from_json" not in plan(query(spark, SF))
