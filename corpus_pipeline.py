@@ -27,7 +27,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each set of near copies (five-word similarity of 0.8 or more) the smallest doc_id stays."""
+    """Of each set of near copies (five-word similarity of 0.8 or more, by the Gray index and MinHash, verified) the smallest doc_id stays."""
     docs = docs.select(*COLUMNS)
     return simhash.leading(docs, near_copies.grouped(docs))
 

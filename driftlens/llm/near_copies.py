@@ -1,6 +1,9 @@
-"""Documents whose word shingles overlap, by MinHash candidates and exact verification.
+"""Documents whose word shingles overlap, by SimHash and MinHash candidates and exact verification.
 
-Each text becomes the set of its distinct shingles' hashes. Sets that agree in all
+Each text becomes the set of its distinct shingles' hashes. Sets whose SimHash fingerprints
+differ in at most four bits are linked by the Gray index of ``simhash``, and its links are candidates.
+At lower similarities fingerprints lie further apart than it can search, so MinHash adds
+candidates beside it: sets that agree in all
 values of one of ``BANDS`` bands of ``ROWS`` MinHash values are candidates: at a Jaccard
 similarity of 0.8 a pair misses every band with a probability of 3 in a million, above it
 with less. What is linked is decided by the sets themselves.
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import closed, text_hash
+from .simhash import closed, majority, similar, text_hash
 
 BANDS, ROWS = 24, 4
 _R = np.random.default_rng(17)
@@ -58,12 +61,12 @@ def _sets(n: int):
         for *ids, text in given:
             h = shingles(text, n, memo)
             keys = common.mix(common.shingle_hashes(signature(h).astype(np.uint64), ROWS)[::ROWS] + band)
-            yield *ids, _set_id(h), len(h), keys.view(np.int64).tolist()
+            yield *ids, _set_id(h), len(h), majority(h), keys.view(np.int64).tolist()
 
     return rows
 
 
-SETS = "doc_id long, did long, text_hash long, sid long, n int, keys array<long>"
+SETS = "doc_id long, did long, text_hash long, sid long, n int, fp long, keys array<long>"
 
 
 def _shingled(n: int):
@@ -143,6 +146,15 @@ def _verify(pairs: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
     return common.written(common.arrow_pass(met.select("a", "b", "x", "y"), _verified(similarity), "a long, b long"), "verified")
 
 
+def indexed(sets: DataFrame, bits: int = 4) -> DataFrame:
+    """Candidates (a, b): sets (sid, fp) of equal fingerprints with the smallest of them, and the links of the Gray index between these."""
+    prints = common.written(sets.groupBy("fp").agg(F.min("sid").alias("sid"), F.max("sid").alias("last")), "prints")
+    equal = sets.join(prints.where("sid < last").select("fp", F.col("sid").alias("a")), "fp").where("sid <> a").select("a", F.col("sid").alias("b"))
+    links = common.written(similar(prints.select("fp"), prints.count(), bits).toDF("x", "y").distinct(), "print-links")
+    end = lambda p, name: prints.select(F.col("fp").alias(p), F.col("sid").alias(name))
+    return common.written(equal.union(links.join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b")).distinct(), "indexed")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 512) -> DataFrame:
     """Returns doc_id and component_id, a row for each row of docs: sets are joined by chains of similar texts.
 
@@ -168,13 +180,15 @@ def grouped(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int
     members = common.written(dealt.join(heads, "key"), "members")
     common.discard(dealt, heads)
     # one row stands for exact copies before sets meet the members, so they don't gather in a task
-    live = sets.groupBy("sid").agg(F.min(F.struct("did", "text_hash")).alias("of")).join(members.select("sid").distinct(), "sid", "left_semi")
+    near = indexed(sets.select("sid", "fp").distinct())
+    candidates = members.select("sid").union(near.select("a")).union(near.select("b")).distinct()
+    live = sets.groupBy("sid").agg(F.min(F.struct("did", "text_hash")).alias("of")).join(candidates, "sid", "left_semi")
     live = common.written(live.select("sid", "of.did", "of.text_hash"), "live-sets")
     read = texts.select("did", "text_hash", "text").join(live, ["did", "text_hash"]).select("sid", "text")
     shingled = common.arrow_pass(read, _shingled(words), "sid long, sig binary, h binary", 256)
     shingled = common.written(shingled.dropDuplicates(["sid"]), "live-shingles")  # rows that repeat
     alike = F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-9
-    pairs = members.where((F.col("sid") != F.col("head.sid")) & alike).select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    pairs = members.where((F.col("sid") != F.col("head.sid")) & alike).select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).union(near).distinct()
     links = _verify(common.written(pairs, "pairs"), shingled.select("sid", "h"), similarity)
     label = closed(links).withColumnRenamed("node", "sid")
 

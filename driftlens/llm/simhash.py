@@ -42,11 +42,16 @@ def fingerprint(text: bytes, n: int = 4) -> int:
     starts = [0, *ends[: count - 1]]
     stops = [e - 1 for e in ends[n - 1 :]] or [len(line)]
     h = np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, count)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
-    for lo in range(0, count, 8192):
+    for lo in range(0, len(h), 8192):
         part = h[lo : lo + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

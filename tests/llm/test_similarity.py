@@ -213,3 +213,25 @@ def test_near_copies_against_brute_force(spark, most):
     assert kept == {i for i, c in want if i == c}
     four = {x["doc_id"] for x in simhash.one_of_each(docs(spark, rows)).collect()}
     assert len(four - kept) > 10  # what four bits let pass
+
+
+def test_near_copies_get_candidates_from_the_gray_index(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(41)
+    fps = [r.getrandbits(63) for _ in range(60)]
+    fps += [f ^ (1 << r.randrange(60)) ^ (1 << r.randrange(60)) for f in fps[:30]] + fps[:10]
+    sets = spark.createDataFrame(list(enumerate(fps)), "sid long, fp long")
+    found = [(x["a"], x["b"]) for x in near_copies.indexed(sets).collect()]
+    root = list(range(len(fps)))
+    for a, b in found:
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 4]
+    assert near and all(root[a] == root[b] for a, b in near) and all(bin(fps[a] ^ fps[b]).count("1") <= 16 for a, b in found)
+
+    seen = []
+    monkeypatch.setattr(near_copies, "indexed", lambda sets, real=near_copies.indexed: seen.append(real(sets)) or seen[-1])
+    base = [f"w{r.randrange(500)}" for _ in range(300)]
+    rows = [(k, " ".join(base[:-1] + [f"end{k}"])) for k in range(5)] + [(9, "something else entirely, said once")]
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()}
+    assert kept == {0, 9} and seen[0].count() >= 1
