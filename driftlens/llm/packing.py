@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import bisect
 import gc
-import re
 import struct
 import zlib
 from collections import defaultdict
-from itertools import compress, repeat
+from itertools import compress, islice, pairwise, repeat
 from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ from . import common
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: White space at which texts are cut before the tokenizer; its own pattern drops it, so no token spans it.
-_CUT = re.compile("[ \t\n\v\f\r]+")
 _TOKENIZERS: dict = {}
 
 
@@ -51,8 +50,6 @@ class CachedTokenizer:
 
     #: ASCII marks but the apostrophe, which may belong to a contraction.
     _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    #: White space to str.split() that isn't to the tokenizer.
-    _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, path: str, limit: int = 600_000):
         import os
@@ -65,9 +62,9 @@ class CachedTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def forget(self) -> None:
-        """Frees the memory; at the end of a task, as workers stay."""
-        self.young, self.old, self.marks = {}, {}, {"": b""}
+    def forget(self, but: int = 100_000) -> None:
+        """Frees the memory but for the runs met first, among which are the frequent ones; at the end of a task, as workers stay."""
+        self.young, self.old, self.marks = dict(islice(self.young.items(), but)), {}, {"": b""}
 
     def _one_by_one(self, texts: list[str]) -> dict[str, bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -83,7 +80,7 @@ class CachedTokenizer:
             else:
                 out.update(self._one_by_one(part))
 
-    def _missing(self, wanted: set[str]) -> dict[str, bytes]:
+    def _missing(self, wanted: list[str]) -> dict[str, bytes]:
         """Ids of runs that the young memory lacks; it gets those that are kept."""
         new: dict[str, bytes] = {}
         whole, halves, letters = [], [], []
@@ -117,6 +114,7 @@ class CachedTokenizer:
         for w, key, mark in halves:
             new[w] = new[key] + marks[mark]
         new.update(self._one_by_one(whole))
+        young.update(zip(wanted, map(new.__getitem__, wanted)))  # in the order in which they are met
         young.update(new)
         for w in [w for w in whole if len(w) > 64]:
             del young[w]
@@ -125,17 +123,32 @@ class CachedTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
-        look = self.young.get
-        split = [_CUT.split(t) if any(c in t for c in self._SEPARATORS) else t.split() for t in texts]
-        got = [list(map(look, words)) for words in split]
-        gaps = [list(compress(range(len(ids)), map(is_, ids, repeat(None)))) for ids in got]
-        wanted = {words[k] for words, places in zip(split, gaps, strict=True) for k in places}
-        if wanted:
-            new = self._missing(wanted)
-            for words, ids, places in zip(split, got, gaps, strict=True):
-                for k in places:
-                    ids[k] = new[words[k]]
-        return [b"".join(x) for x in got]
+        # white space at which texts are cut; the tokenizer's own pattern drops it, so no token spans it
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()  # each run is looked up once, however often the texts have it
+        runs, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        got = list(map(self.young.get, runs))
+        places = list(compress(range(len(got)), map(is_, got, repeat(None))))
+        if places:
+            new = self._missing([runs[k] for k in places])
+            for k in places:
+                got[k] = new[runs[k]]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        raw = _gathered(np.frombuffer(b"".join(got), "<u4"), sizes, codes)
+        ends = np.concatenate([[0], 4 * np.cumsum(sizes[codes])])
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [raw[lo:hi] for lo, hi in pairwise(cuts)]
+
+
+def _gathered(table: np.ndarray, sizes: np.ndarray, codes: np.ndarray, step: int = 1 << 20) -> bytes:
+    """The runs of codes one after the other; table holds each run's ids, sizes long. So many runs at a time, as texts may be long."""
+    starts, out = np.cumsum(sizes) - sizes, []
+    for at in range(0, len(codes), step):
+        part = codes[at : at + step]
+        n = sizes[part]
+        shift = starts[part] - (np.cumsum(n) - n)
+        out.append(table[np.arange(n.sum()) + np.repeat(shift, n)].tobytes())
+    return b"".join(out)
 
 
 def tokenizer(path: str) -> CachedTokenizer:
@@ -144,7 +157,7 @@ def tokenizer(path: str) -> CachedTokenizer:
     return _TOKENIZERS[path]
 
 
-def _batches(rows, most: int = 2_000_000):
+def _batches(rows, most: int = 8_000_000):
     held, size = [], 0
     for row in rows:
         held.append(row)

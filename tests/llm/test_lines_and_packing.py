@@ -110,6 +110,25 @@ def test_tokenizer_memory_gives_the_same_ids(path):
             assert got == kept.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_frequent_runs_are_remembered_between_tasks(path):
+    kept = packing.CachedTokenizer(path)
+    texts = ["the same words the same", "", "\xa0other\u2003words\x0bare here"]
+    first = kept.encode(texts)
+    kept.forget(but=3)
+    assert list(kept.young) == ["the", "same", "words"] and not kept.old
+    asked, missing = [], kept._missing
+    kept._missing = lambda wanted: asked.append(set(wanted)) or missing(wanted)
+    assert kept.encode(texts) == first == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in kept.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) == 1 and not asked[0] & {"the", "same", "words"}
+
+
+def test_runs_are_gathered_in_any_steps():
+    table, sizes, codes = np.arange(6, dtype="<u4"), np.array([2, 0, 3, 1]), np.array([2, 1, 0, 3, 3, 2])
+    expected = np.array([2, 3, 4, 0, 1, 5, 5, 2, 3, 4], "<u4").tobytes()
+    assert {packing._gathered(table, sizes, codes, step) for step in (1, 2, 4, 100)} == {expected}
+    assert packing._gathered(table, sizes, codes[:0]) == b""
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=200))
 def test_plans_place_every_piece_once(lengths):
