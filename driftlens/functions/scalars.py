@@ -35,8 +35,9 @@ def soname_stem(c: Column | str) -> Column:
 
 def strip_cv(c: Column | str) -> Column:
     """A type's text without the words const and volatile, single spaces between what is left."""
-    bare = F.regexp_replace(col(c), r"\b(const|volatile)\b", "")
-    return F.rtrim(F.ltrim(F.regexp_replace(bare, " +", " ")))
+    named = col(c).contains("const") | col(c).contains("volatile")
+    bare = F.when(named, F.regexp_replace(col(c), r"\b(const|volatile)\b", "")).otherwise(col(c))
+    return F.trim(F.when(bare.contains("  "), F.regexp_replace(bare, " +", " ")).otherwise(bare))
 
 
 def peeled_name(text: Column | str, aliased: Column | str | None = None) -> Column:

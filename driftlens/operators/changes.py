@@ -6,6 +6,8 @@ pairs at once, hashed by pair and key; nothing is compared pair by pair.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,25 +97,86 @@ def attributed(changes: DataFrame, types: DataFrame, own_headers: DataFrame, key
     return out.withColumn("third_party", third).drop("basename", "_own", "_any", "declared_in")
 
 
-def placed(changes: DataFrame, old_types: DataFrame, new_types: DataFrame, own_headers: DataFrame, keys: list[str]) -> DataFrame:
-    """attributed(on_both_sides()) as counts: keys, type_id, kind, third_party and n.
+#: Kinds of changes of types, as layout_counts() and placed() have them for columns.
+LAYOUT_KINDS = ("field_added_to_struct", "field_removed_from_struct", "field_type_changed", "member_offset_changed", "type_size_changed", "base_class_changed", "enum_case_added", "enum_case_removed", "vtable_changed")
+
 
-    Changes and types meet by windows, which shuffle nothing where the tables are partitioned alike by keys.
+def met(old: DataFrame, new: DataFrame, keys: list[str], numbers: list[str], text: str | None = None) -> DataFrame:
+    """keys, in_1 and in_2 (null where a side lacks the key), each number on both sides, and same_text (null if it differs).
+
+    The same comparison as outer(), for tables that are partitioned alike by some of the keys. Buffers of these
+    groups are of fixed width, so rows are hashed where those of outer() are sorted; numbers are columns of such types.
+    """
+    alone = F.when(_any_null(keys), F.monotonically_increasing_id())
+    side = lambda df, n: df.select(*keys, *numbers, *([text] if text else []), F.lit(n).alias("side"))
+    rows = side(old, 1).unionByName(side(new, 2)).withColumn("alone", alone)
+    given = {"in": F.lit(1)} | {c: F.col(c) for c in numbers}
+    found = {f"{c}_{n}": F.max(F.when(F.col("side") == n, v)) for c, v in given.items() for n in (1, 2)}
+    both = rows.groupBy(*keys, "alone", *([text] if text else [])).agg(*[v.alias(c) for c, v in found.items()])
+    if text:
+        both = both.groupBy(*keys, "alone").agg(*[F.max(c).alias(c) for c in found], F.max(F.col("in_1") + F.col("in_2")).alias("same_text"))
+    return both.drop("alone")
+
+
+def _any_null(keys: list[str]) -> Column:
+    return reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+
+
+def layout_counts(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """keys, type_id and a count for each of LAYOUT_KINDS but sizes: what members(), bases(), enumerators() and vtables() find.
+
+    Facts are partitioned alike by some of keys. Those of types with a null in keys or type_id are left out.
+    """
+    at = [*keys, "type_id"]
+    known = lambda name: (side[name].where(~_any_null(at)) for side in (old, new))
+    lacks = lambda name: F.col(f"{name}_1").isNull() != F.col(f"{name}_2").isNull()
+    moved = lambda name: ~F.col(f"{name}_1").eqNullSafe(F.col(f"{name}_2"))
+    two = F.col("in_1").isNotNull() & F.col("in_2").isNotNull()
+
+    peeled = [df.withColumn("type_name", scalars.strip_cv("type_name")) for df in known("members")]
+    virtual = [df.withColumn("slot", F.when(F.col("is_virtual"), F.col("slot"))).withColumn("virtual", F.when(F.col("is_virtual"), 1)) for df in known("vslots")]
+    rows = [
+        (met(*peeled, [*at, "name"], ["offset_bits"], "type_name"), {"field_added_to_struct": F.col("in_1").isNull(), "field_removed_from_struct": F.col("in_2").isNull(), "field_type_changed": two & F.col("same_text").isNull(), "member_offset_changed": two & moved("offset_bits")}),
+        (met(*known("bases"), [*at, "base"], []), {"base_class_changed": lacks("in")}),
+        (met(*known("enumerators"), [*at, "name"], []), {"enum_case_added": F.col("in_1").isNull(), "enum_case_removed": F.col("in_2").isNull()}),
+        (met(*virtual, [*at, "method"], ["slot", "virtual", "is_virtual"]), {"vtable_changed": lacks("virtual") | (F.col("virtual_1").isNotNull() & F.col("virtual_2").isNotNull() & moved("slot"))}),
+    ]
+    tables = ["in_1", "in_2", "is_virtual_1", "is_virtual_2"]
+    counts = None
+    for both, kinds in rows:
+        part = both.select(*at, *[c.cast("int").alias(k) for k, c in kinds.items()], *(tables if "vtable_changed" in kinds else []))
+        counts = part if counts is None else counts.unionByName(part, allowMissingColumns=True)
+    kinds = [k for k in LAYOUT_KINDS if k != "type_size_changed"]
+    counts = counts.groupBy(*at).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds], *[F.max(c).alias(c) for c in tables])
+    # a class that gains or loses its table
+    gained = F.coalesce((two & moved("is_virtual")).cast("int"), F.lit(0))
+    return counts.withColumn("vtable_changed", F.col("vtable_changed") + gained).drop(*tables)
+
+
+def placed(counts: DataFrame, old_types: DataFrame, new_types: DataFrame, own_headers: DataFrame, keys: list[str]) -> DataFrame:
+    """attributed(on_both_sides()) as counts: keys, kind, third_party and n of layout_counts() and of sizes().
+
+    Changes, types and headers meet in groups, which shuffle nothing where the tables are partitioned alike by keys.
     """
     at = [*keys, "type_id"]
-    known = F.concat(*[F.col(k).isNull().cast("string") for k in at]).contains("true") == F.lit(False)
-    counts = changes.where(known).groupBy(*at, "kind").agg(F.count("*").alias("n"))
-    types = [t.where(known).groupBy(*at).agg(F.min("declared_in").alias("declared_in")).withColumn("side", F.lit(k)) for k, t in enumerate((old_types, new_types), 1)]
-    rows = counts.withColumn("declared_in", F.lit(None).cast("string")).withColumn("side", F.lit(0))
-    for t in types:
-        rows = rows.unionByName(t, allowMissingColumns=True)
-    of_type = Window.partitionBy(*at)
-    rows = rows.withColumn("declared_in", F.min("declared_in").over(of_type)).withColumn("both", (F.count_if(F.col("side") == 1).over(of_type) > 0) & (F.count_if(F.col("side") == 2).over(of_type) > 0))
-    rows = rows.where("side = 0 and both").drop("both").withColumn("basename", F.substring_index("declared_in", "/", -1))
-    own = own_headers.groupBy(*keys).agg(F.collect_set("basename").alias("_own"), F.lit(3).alias("side"))
-    rows = rows.unionByName(own, allowMissingColumns=True).withColumn("_own", F.max("_own").over(Window.partitionBy(*keys)))
-    third = F.col("_own").isNotNull() & F.col("basename").isNotNull() & (F.col("basename") != "") & ~F.array_contains("_own", F.col("basename"))
-    return rows.where("side = 0").select(*at, "kind", F.coalesce(third, F.lit(False)).alias("third_party"), "n")
+    rows = counts
+    for n, t in enumerate((old_types, new_types), 1):
+        rows = rows.unionByName(t.where(~_any_null(at)).select(*at, "declared_in", F.lit(1).alias(f"in_{n}"), F.col("size_bits").alias(f"size_{n}")), allowMissingColumns=True)
+    sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    once = [F.max(c).alias(c) for c in ("in_1", "in_2", "size_1", "size_2")]
+    rows = rows.groupBy(*at).agg(F.min("declared_in").alias("declared_in"), *once, *[sums(k).alias(k) for k in LAYOUT_KINDS if k != "type_size_changed"])
+    rows = rows.where("in_1 is not null and in_2 is not null").withColumn("type_size_changed", (~F.col("size_1").eqNullSafe(F.col("size_2"))).cast("bigint"))
+    rows = rows.select(*keys, F.substring_index("declared_in", "/", -1).alias("basename"), *LAYOUT_KINDS)
+    rows = rows.unionByName(own_headers.select(*keys, "basename", F.lit(1).alias("own")), allowMissingColumns=True)
+    rows = rows.groupBy(*keys, "basename").agg(F.max("own").alias("own"), *[F.sum(k).alias(k) for k in LAYOUT_KINDS])
+    foreign = F.col("own").isNull() & F.col("basename").isNotNull() & (F.col("basename") != "")
+    split = [sums(F.when(foreign == third, F.col(k))).alias(f"{k}_{third}") for k in LAYOUT_KINDS for third in (False, True)]
+    rows = rows.groupBy(*keys).agg(F.max("own").alias("own"), *split)
+    # without any headers known, all are the library's own
+    known = F.col("own").isNotNull()
+    n = lambda k, third: F.when(known, F.col(f"{k}_{third}")).otherwise(F.lit(0) if third else F.col(f"{k}_False") + F.col(f"{k}_True"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(third).alias("third_party"), n(k, third).alias("n")) for k in LAYOUT_KINDS for third in (False, True)]))
+    return rows.select(*keys, each.alias("c")).select(*keys, "c.*").where("n > 0")
 
 
 # Symbols
@@ -185,29 +248,44 @@ def resolved_symbols(old: DataFrame, new: DataFrame, keys: list[str], together:
     # rows that can't have a partner are groups of their own, so none of them gathers
     named = F.when((F.col("side") > 0) & F.col("is_function"), F.concat(F.lit("f"), "pairing"))
     ranked = dealt(differ.withColumn("name", F.coalesce(named, F.concat(F.lit("x"), F.col("side").cast("string"), "linkage"))), *keys, "name")
-    within = lambda *more: Window.partitionBy(*keys, "name", *more)
-    ranked = ranked.withColumn("n", F.row_number().over(within("side").orderBy("linkage")))
-    shared_text = F.min("side").over(within("pretty")) != F.max("side").over(within("pretty"))
-    ranked = ranked.withColumn("shared", shared_text).withColumn("same", F.max("shared").over(within()))
-    ranked = ranked.withColumn("mate", F.max(F.when(F.col("side") == 2, F.col("pretty"))).over(within("n"))).withColumn("mates", F.count("*").over(within("n")))
-    # where a text is on both sides, which is rare, the few overloads of the name are gone through one by one
-    text = lambda k: F.array_sort(F.collect_list(F.when(F.col("same") & (F.col("side") == k), F.struct("linkage", "pretty"))).over(within()))
-    ranked = ranked.withColumn("rs", text(1)).withColumn("as_", text(2))
-    ranked = ranked.withColumn("taken", F.max(F.when(F.col("same") & (F.col("n") == 1) & (F.col("side") == 1), _greedy())).over(within()))
+    ranked = _placed_by_linkage(ranked, [*keys, "name"], lo=F.min("pretty"), hi=F.max("pretty"), texts=F.count("pretty"))
+    crowded = (F.col("n_1") > 0) & (F.col("n_2") > 0) & (F.col("n_1") + F.col("n_2") > 2)
+    # of two the texts are compared; where a text is on both sides of more, which is rare, the few overloads of the name are gone through one by one
+    within = _by_linkage([*keys, "name"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    text = lambda k: F.collect_list(F.when(crowded & (F.col("side") == k), F.struct("linkage", "pretty"))).over(within)
+    ranked = ranked.withColumns({"rs": text(1), "as_": text(2)})
+    bare = lambda c: F.transform(c, lambda x: F.coalesce(F.concat(F.lit("t"), x["pretty"]), F.lit("")))
+    alike = F.col("lo").eqNullSafe(F.col("hi")) & (F.col("texts") != 1)
+    ranked = ranked.withColumn("same", F.when(crowded, F.arrays_overlap(bare(F.col("rs")), bare(F.col("as_")))).otherwise((F.col("n_1") == 1) & (F.col("n_2") == 1) & alike))
+    ranked = ranked.withColumn("taken", F.max(F.when(F.col("same") & crowded & (F.col("n") == 1) & (F.col("side") == 1), _greedy())).over(within))
     mine = F.get("taken", F.col("n") - 1)
-    paired = F.when(F.col("same"), F.when(F.col("side") == 1, mine >= 0).otherwise(F.array_contains("taken", F.col("n") - 1))).otherwise(F.col("mates") == 2)
-    ranked = ranked.withColumn("paired", F.col("name").startswith("f") & paired).withColumn("mate", F.when(F.col("same"), F.get("as_", mine)["pretty"]).otherwise(F.col("mate")))
+    taken = F.when(F.col("side") == 1, mine >= 0).otherwise(F.array_contains("taken", F.col("n") - 1))
+    ranked = ranked.withColumn("paired", F.when(~F.col("same"), F.col("n") <= F.least("n_1", "n_2")).when(crowded, taken).otherwise(F.lit(False)))
+    mate = F.max(F.when(F.col("side") == 2, F.col("pretty"))).over(Window.partitionBy(*keys, "name", "n"))
+    ranked = ranked.withColumn("mate", F.when(F.col("same"), F.get("as_", mine)["pretty"]).otherwise(mate))
 
     left = (F.col("side") > 0) & ~F.col("paired")
     blind = F.coalesce(F.when(left, F.concat(F.lit("b"), scalars.digits_blind("linkage"))), F.concat(F.lit("x"), F.col("side").cast("string"), "linkage"))
     again = dealt(ranked.select(*keys, "linkage", "side", "pretty", "version", "paired", "mate", blind.alias("blind")), *keys, "blind")
-    again = again.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "blind", "side").orderBy("linkage"))).withColumn("renamed", F.count("*").over(Window.partitionBy(*keys, "blind", "n")) == 2)
+    again = _placed_by_linkage(again, [*keys, "blind"]).withColumn("renamed", F.col("n") <= F.least("n_1", "n_2"))
     first = F.col("side") == 1
     step = F.when(F.col("side") == 0, "changed").when(F.col("paired"), F.when(first, "paired")).when(F.col("renamed"), F.when(first, "renamed")).otherwise("plain")
     pretty = F.when(step == "paired", F.concat_ws("  ->  ", "pretty", "mate")).otherwise(F.col("pretty"))
     return again.withColumn("step", step).select(*keys, "linkage", pretty.alias("pretty"), "version", "side", "step").where("step is not null")
 
 
+def _by_linkage(at: list[str]) -> Window:
+    return Window.partitionBy(*at).orderBy("side", "linkage")
+
+
+def _placed_by_linkage(df: DataFrame, at: list[str], **more: Column) -> DataFrame:
+    """df with n_1 and n_2 (rows of each side within at), n (the row's place on its side) and more: all by one sort and one window."""
+    whole = _by_linkage(at).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of = {f"n_{k}": F.count_if(F.col("side") == k) for k in (1, 2)} | more
+    out = df.withColumns({c: v.over(whole) for c, v in of.items()} | {"n": F.row_number().over(_by_linkage(at))})
+    return out.withColumn("n", F.col("n") - F.when(F.col("side") == 2, F.col("n_1")).otherwise(0))
+
+
 def _greedy() -> Column:
     """For each of rs the place of the first of as_ that is left and has another text, -1 for none."""
     first = lambda taken, r: F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size("as_") - 1), lambda k: ~F.array_contains(taken, k) & (F.get("as_", k)["pretty"] != r["pretty"])), 0), F.lit(-1))

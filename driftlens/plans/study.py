@@ -158,14 +158,13 @@ def classified_counts(old: dict[str, DataFrame], new: dict[str, DataFrame], own_
 
     The tables are partitioned alike by some of KEYS, as artifacts.kept_by() gives them, and nothing is shuffled again.
     """
-    layout = changes.placed(_layout(old, new, True), old["types"], new["types"], own_headers, KEYS)
+    layout = changes.placed(changes.layout_counts(old, new, KEYS), old["types"], new["types"], own_headers, KEYS)
     symbols = changes.symbol_counts(old["symbols"], new["symbols"], KEYS, True)
-    found = layout.select(*KEYS, "kind", "third_party", F.lit(False).alias("private"), "n").unionByName(symbols.withColumn("third_party", F.lit(False)))
-    return found.groupBy(*KEYS, "kind", "third_party", "private").agg(F.sum("n").alias("n"))
+    return layout.select(*KEYS, "kind", "third_party", F.lit(False).alias("private"), "n").unionByName(symbols.select(*KEYS, "kind", F.lit(False).alias("third_party"), "private", "n"))
 
 
-def _layout(old: dict[str, DataFrame], new: dict[str, DataFrame], together: bool = False) -> DataFrame:
-    found = [f(old[t], new[t], KEYS, together) for f, t in ((changes.members, "members"), (changes.bases, "bases"), (changes.enumerators, "enumerators"), (changes.vtables, "vslots"), (changes.sizes, "types"))]
+def _layout(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    found = [f(old[t], new[t], KEYS) for f, t in ((changes.members, "members"), (changes.bases, "bases"), (changes.enumerators, "enumerators"), (changes.vtables, "vslots"), (changes.sizes, "types"))]
     layout = found[0].select(*KEYS, "type_id", "kind")
     for f in found[1:]:
         layout = layout.unionByName(f.select(*KEYS, "type_id", "kind"))
