@@ -125,7 +125,7 @@ def _any_null(keys: list[str]) -> Column:
 def layout_counts(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """keys, type_id and a count for each of LAYOUT_KINDS but sizes: what members(), bases(), enumerators() and vtables() find.
 
-    Facts are partitioned alike by some of keys. Those of types with a null in keys or type_id are left out.
+    Facts are partitioned alike by some of keys; a side may repeat a base. Those of types with a null in keys or type_id are left out.
     """
     at = [*keys, "type_id"]
     known = lambda name: (side[name].where(~_any_null(at)) for side in (old, new))
@@ -144,6 +144,8 @@ def layout_counts(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: li
     tables = ["in_1", "in_2", "is_virtual_1", "is_virtual_2"]
     counts = None
     for both, kinds in rows:
+        # what hasn't changed counts nothing; slots also say whether a class has a table
+        both = both if "vtable_changed" in kinds else both.where(reduce(lambda x, y: x | y, kinds.values()))
         part = both.select(*at, *[c.cast("int").alias(k) for k, c in kinds.items()], *(tables if "vtable_changed" in kinds else []))
         counts = part if counts is None else counts.unionByName(part, allowMissingColumns=True)
     kinds = [k for k in LAYOUT_KINDS if k != "type_size_changed"]
